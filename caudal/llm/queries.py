@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import leakage, mojibake, spam_shapes
+from caudal.llm import leakage, mojibake, spam_shapes, variants
 from caudal.scale import read
 
 #: Table: (key, fields that may be garbled).
@@ -28,6 +28,12 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore_lost(_p1_cases(spark, d), reduce(DataFrame.unionByName, texts))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    sets = {"normalized_suppliers": variants.SUPPLIERS, "normalized_buyers": variants.BUYERS}
+    parts = [variants.link_variants(read(spark, d, t), a).select(F.lit(t).alias("record_table"), "key_a", "key_b") for t, a in sets.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Documents with passages of evaluation items: windows that match, best similarity, whether word for word."""
     docs, items = read(spark, d, "documents", "eval_passages")
@@ -47,5 +53,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shapes(spark, d).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p7_found, p7_leaks, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p6_found, p7_found, p7_leaks, p9_found, p9_shapes)}
 ORACLE: dict[str, str] = {}
