@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import leakage, mojibake, spam_shapes, variants
+from caudal.llm import leakage, linkage, mojibake, spam_shapes, variants
 from caudal.scale import read
 
 #: Table: (key, fields that may be garbled).
@@ -28,6 +28,41 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore_lost(_p1_cases(spark, d), reduce(DataFrame.unionByName, texts))
 
 
+def _latest(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row per key, the latest updated; ties fall to the greatest values."""
+    rest = [c for c in columns if c != key]
+    return df.groupBy(key).agg(F.max(F.struct("updated_at", *rest)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """Notice line bought by each order line without a linked notice, with the confidence."""
+    notice_line, order, order_line, link, tender = read(spark, d, "silver_notice_line", "silver_purchase_order", "silver_purchase_order_line", "silver_notice_purchase_order_link", "normalized_licitaciones")
+    columns = ["notice_id", "onu_product_code", "generic_product_name", "category_level_1", "line_name", "line_description_raw", "unit_of_measure", "quantity_requested"]
+    published = tender.groupBy(F.col("codigo_externo").alias("notice_id")).agg(F.min("fecha_publicacion").alias("published"))
+    asked = _latest(notice_line, "notice_line_id", ["notice_line_id", *columns]).join(published, "notice_id", "left")
+    columns = ["purchase_order_id", "linked_notice_id", "onu_product_code", "generic_product_name", "category_level_1", "buyer_item_spec_raw", "supplier_item_spec_raw", "unit_of_measure", "quantity_ordered"]
+    created = order.groupBy("purchase_order_id").agg(F.min("order_created_at").alias("created"))
+    bought = _latest(order_line, "purchase_order_line_id", ["purchase_order_line_id", *columns]).where("linked_notice_id IS NULL").join(created, "purchase_order_id", "left")
+    c = F.col
+    notices = linkage.materialize(linkage.lines(
+        asked, "notice_line_id", c("notice_id"), (c("line_description_raw"), F.concat_ws(" ", "line_name", "generic_product_name")), c("onu_product_code"), c("generic_product_name"), c("category_level_1"),
+        c("quantity_requested"), c("unit_of_measure"), F.unix_date(c("published").cast("date")),
+    ))
+    orders = linkage.materialize(linkage.lines(
+        bought, "purchase_order_line_id", c("purchase_order_id"), (c("buyer_item_spec_raw"), c("supplier_item_spec_raw")), c("onu_product_code"), c("generic_product_name"), c("category_level_1"),
+        c("quantity_ordered"), c("unit_of_measure"), F.unix_date(c("created").cast("date")),
+    ))
+    reviews = link.where("link_type = 'candidate_review'").select(c("purchase_order_id").alias("o"), c("notice_id").alias("nt"), F.coalesce(c("link_confidence").cast("double"), F.lit(0.3)).alias("w"))
+    solved = linkage.solve(linkage.candidates(orders, notices), reviews)
+    return linkage.best_links(solved).select(
+        c("n").alias("notice_line_id"), c("p").alias("purchase_order_line_id"), c("nt").alias("notice_id"), c("o").alias("purchase_order_id"), F.round("confidence", 6).alias("link_confidence")
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_links(spark, d).select("notice_line_id", "purchase_order_line_id").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     sets = {"normalized_suppliers": variants.SUPPLIERS, "normalized_buyers": variants.BUYERS}
     parts = [variants.link_variants(read(spark, d, t), a).select(F.lit(t).alias("record_table"), "key_a", "key_b") for t, a in sets.items()]
@@ -53,5 +88,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shapes(spark, d).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p6_found, p7_found, p7_leaks, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_links, p6_found, p7_found, p7_leaks, p9_found, p9_shapes)}
 ORACLE: dict[str, str] = {}
