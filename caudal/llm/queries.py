@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import leakage, linkage, mojibake, spam_shapes, variants
+from caudal.llm import leakage, linkage, mixing, mojibake, spam_shapes, variants
 from caudal.scale import read
 
 #: Table: (key, fields that may be garbled).
@@ -79,6 +79,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).where("verbatim").select("doc_id", "item_id").distinct()
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mixture with their number of copies."""
+    return mixing.mix(*read(spark, d, "documents", "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source in the mixture."""
+    return mixing.mix(*read(spark, d, "documents", "mix_targets"))[1]
+
+
 def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document is in non-sentence lines and in the few commonest shapes of them."""
     return spam_shapes.spam_pages(read(spark, d, "documents"))
@@ -88,5 +98,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shapes(spark, d).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_links, p6_found, p7_found, p7_leaks, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_links, p6_found, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shapes)}
 ORACLE: dict[str, str] = {}
