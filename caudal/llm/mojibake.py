@@ -30,7 +30,7 @@ SPANISH = "áéíóúüñÁÉÍÓÚÜÑ"
 SIGNS_OF_SPANISH = "º°"
 # Signs that may rightly follow, or rightly precede, a letter.
 AFTER = set("”’…»º°ª—–™®©²³¹‰†‡›,;:.!?)•·")
-BEFORE = set("“‘«¡¿—–•·±¤£¥§$€¶#†‡‹(°º~")
+BEFORE = set("“‘’«¡¿—–•·±¤£¥§$€¶#†‡‹(°º~")
 # Capitals that may stand within a capitalised word of the languages met.
 CAPITALS = set("ÁÉÍÓÚÜÑÇÃÂÊÔÀÕÄÖ")
 SUSPECT = r"[^\x00-\x7FáéíóúñÁÉÍÓÚÑüÜ]|\?"

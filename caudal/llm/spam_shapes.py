@@ -17,6 +17,8 @@ TOP_SHAPES = 6
 #: A phrase of two words held by so many neighbouring segments, oftener than STUFFED times each, is stuffed.
 STUFFED_RUN = 3
 STUFFED = 1.25
+#: A page of fewer words and without links is too short to be told from a greeting.
+LEAST_WORDS = 5
 
 _SPLIT = re.compile(r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚÑ¿¡\"#<]|https?:|www\.)")
 _LINK = re.compile(r"<a\b[^>]*>.*?</a>|https?://\S+|\bwww\.\S+|#\w+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|cl|net|org|info|test|example|invalid)\b/?\S*", re.I | re.S)
@@ -101,6 +103,8 @@ def page_shapes(text: str) -> tuple[float, float, int, str]:
         return 0.0, 0.0, 0, ""
     n_links = [len(_LINK.findall(p)) for p in parts] if linked else [0] * len(parts)
     words = [_WORD.findall((_LINK.sub(" ", p) if n else p).lower()) for p, n in zip(parts, n_links)]
+    if not linked and sum(map(len, words)) < LEAST_WORDS:
+        return 0.0, 0.0, len(parts), ""
     bad = _stuffed(words)
     run: list[int] = []
 
