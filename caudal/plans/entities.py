@@ -407,30 +407,50 @@ ORDER_LANE = {
 }
 
 
-def _column(kind: str, sources: list[str], raw: Column) -> Column:
-    v = p.pick(raw, *sources) if sources else None
-    supplier = p.prefixed(("codigo:", p.pick(raw, "CodigoProveedor")), ("rut:", p.pick(raw, "RutProveedor")))
+def _parsed(kind: str, v: list[Column]) -> Column:
+    """Typed value of the cleaned header values ``v``."""
     if kind == "days":
-        later, earlier = (p.timestamp(p.pick(raw, s)) for s in sources)
-        return p.whole_days(later, earlier)
+        return p.whole_days(p.timestamp(v[0]), p.timestamp(v[1]))
+    if kind in ("bidkey", "awardkey"):
+        return p.hashed_key(*v)
+    if kind in PREFIXES:
+        return p.prefixed(*zip(PREFIXES[kind], v))
+    if kind == "code":
+        return F.coalesce(v[0], p.code_prefix(v[1]))
     return {
-        "text": lambda: v,
-        "norm": lambda: normalise(v),
-        "normtype": lambda: utm_amounts(normalise(v)),
-        "dec": lambda: p.decimal(v),
-        "int": lambda: p.integer(v),
-        "ts": lambda: p.timestamp(v),
-        "bool": lambda: p.boolean(v),
-        "bool0": lambda: p.boolean_or_false(v),
-        "present": lambda: v.isNotNull(),
-        "tspresent": lambda: p.timestamp(v).isNotNull(),
-        "code": lambda: F.coalesce(v, p.code_prefix(p.pick(raw, "CodigoExterno"))),
-        "supplier": lambda: supplier,
-        "category": lambda: F.coalesce(p.pick(raw, "codigoCategoria"), p.prefixed(("onu:", p.pick(raw, "codigoProductoONU")))),
-        "categoryref": lambda: p.prefixed(("cat:", p.pick(raw, "codigoCategoria")), ("onu:", p.pick(raw, "codigoProductoONU", "CodigoProductoONU"))),
-        "bidkey": lambda: p.hashed_key(*[p.pick(raw, *n) for n in BID_KEY]),
-        "awardkey": lambda: p.hashed_key(*[p.pick(raw, *n) for n in AWARD_KEY]),
-    }[kind]()
+        "text": lambda c: c,
+        "norm": normalise,
+        "normtype": lambda c: utm_amounts(normalise(c)),
+        "dec": p.decimal,
+        "int": p.integer,
+        "ts": p.timestamp,
+        "bool": p.boolean,
+        "bool0": p.boolean_or_false,
+        "present": lambda c: c.isNotNull(),
+        "tspresent": lambda c: p.timestamp(c).isNotNull(),
+    }[kind](v[0])
+
+
+# Prefixes of identities, in order of precedence, and the headers they are made of.
+PREFIXES = {"supplier": ["codigo:", "rut:"], "category": ["", "onu:"], "categoryref": ["cat:", "onu:"]}
+IDENTITIES = {
+    "supplier": [["CodigoProveedor"], ["RutProveedor"]],
+    "category": [["codigoCategoria"], ["codigoProductoONU"]],
+    "categoryref": [["codigoCategoria"], ["codigoProductoONU", "CodigoProductoONU"]],
+}
+
+
+def _sources(kind: str, headers: list[str]) -> list[list[str]]:
+    """Lists of alternative headers that a column of ``kind`` is made of."""
+    if kind in IDENTITIES:
+        return IDENTITIES[kind]
+    if kind == "bidkey":
+        return [list(n) for n in BID_KEY]
+    if kind == "awardkey":
+        return [list(n) for n in AWARD_KEY]
+    if kind == "days":
+        return [[h] for h in headers]
+    return [headers, ["CodigoExterno"]] if kind == "code" else [headers]
 
 
 def fields(declaration: str) -> list[tuple[str, str, list[str]]]:
@@ -449,13 +469,17 @@ def project(raw: DataFrame, entity: Entity, raw_column: str = "raw") -> DataFram
     One narrow projection: headers nobody asks for are never parsed. Lineage columns and a ``seq`` column,
     where present, pass through. Values that do not parse are null.
     """
-    cols = [_column(kind, headers, F.col(raw_column)).alias(name) for name, kind, headers in fields(entity.declaration)]
+    columns = [(name, kind, _sources(kind, headers)) for name, kind, headers in fields(entity.declaration)]
+    wanted = list(dict.fromkeys(tuple(alternatives) for _, _, sources in columns for alternatives in sources))
+    at = {alternatives: f"v{i}" for i, alternatives in enumerate(wanted)}
     keep = [c for c in [*LINEAGE, "seq"] if c in raw.columns]
     present = F.lit(True)
     for group in (entity.signals, entity.also):
         if group:
             present = present & p.any_present(*[F.try_element_at(F.col(raw_column), F.lit(s)) for s in group])
-    out = raw.where(present).select(*cols, *keep)
+    # Each header is cleaned once, in a projection of its own; the parsers use its value several times.
+    cleaned = raw.where(present).select(*keep, *[p.pick(F.col(raw_column), *alternatives).alias(c) for alternatives, c in at.items()])
+    out = cleaned.select(*[_parsed(kind, [F.col(at[tuple(a)]) for a in sources]).alias(name) for name, kind, sources in columns], *keep)
     return out.where(" AND ".join(f"{k} IS NOT NULL" for k in entity.key))
 
 

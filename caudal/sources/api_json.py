@@ -63,13 +63,16 @@ def flatten(payloads: DataFrame, keep: list[str]) -> DataFrame:
         inner = F.col(f"n.{nested[name]}.{name}") if name in nested else None
         return clean(inner if flat is None else flat if inner is None else F.coalesce(clean(inner), flat))
 
-    return n.select(
-        *keep, "position", field("CodigoExterno").alias("external_notice_code"), field("Nombre").alias("notice_title"), field("Descripcion").alias("description"),
-        integer(F.col("n.CodigoEstado")).alias("official_status_code"), field("Estado").alias("official_status_name"), field("Tipo").alias("tipo"),
-        *[day(field(f)).alias(a) for f, a in (("FechaPublicacion", "publication_date"), ("FechaCierre", "close_date"), ("FechaCreacion", "created_date"), ("FechaAdjudicacion", "award_date"), ("FechaEstimadaAdjudicacion", "estimated_award_date"))],
-        *[field(f).alias(a) for f, a in (("CodigoOrganismo", "buyer_org_code"), ("NombreOrganismo", "buyer_org_name"), ("CodigoUnidad", "buyer_unit_code"), ("NombreUnidad", "buyer_unit_name"), ("RegionUnidad", "buyer_region"), ("Moneda", "currency_code"))],
-        decimal(F.col("n.MontoEstimado")).cast("decimal(20,2)").alias("estimated_amount"), F.col("n.Items.Listado").alias("items"),
-    ).where("external_notice_code IS NOT NULL")
+    taken = {
+        "external_notice_code": "CodigoExterno", "notice_title": "Nombre", "description": "Descripcion", "official_status_name": "Estado", "tipo": "Tipo", "buyer_org_code": "CodigoOrganismo", "buyer_org_name": "NombreOrganismo",
+        "buyer_unit_code": "CodigoUnidad", "buyer_unit_name": "NombreUnidad", "buyer_region": "RegionUnidad", "currency_code": "Moneda",
+    }
+    dated = {"publication_date": "FechaPublicacion", "close_date": "FechaCierre", "created_date": "FechaCreacion", "award_date": "FechaAdjudicacion", "estimated_award_date": "FechaEstimadaAdjudicacion"}
+    # Cleaning and parsing are two projections: a parser uses its text several times.
+    texts = n.select(*keep, "position", *[field(f).alias(a) for a, f in (taken | dated).items()], F.col("n.CodigoEstado").alias("status"), F.col("n.MontoEstimado").alias("amount"), F.col("n.Items.Listado").alias("items"))
+    return texts.where("external_notice_code IS NOT NULL").select(
+        *keep, "position", *taken, integer(F.col("status")).alias("official_status_code"), *[day(F.col(a)).alias(a) for a in dated], decimal(F.col("amount")).cast("decimal(20,2)").alias("estimated_amount"), "items"
+    )
 
 
 def items(notices: DataFrame, keep: list[str]) -> DataFrame:
