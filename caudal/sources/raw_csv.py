@@ -69,7 +69,7 @@ def _rows(batches: Iterator[pd.DataFrame], aliases: dict[str, str]) -> Iterator[
                     continue
                 if problem is None and len(fields) != len(header):
                     problem = "field_count"
-                rows.append((path, digest, n, list(zip(header, fields)), problem))
+                rows.append((path, digest, n, dict(zip(header, fields)), problem))
                 if len(rows) >= 10_000:
                     yield pd.DataFrame(rows, columns=["source_file", "source_file_id", "raw_row_num", "raw", "problem"])
                     rows = []
