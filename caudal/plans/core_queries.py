@@ -127,7 +127,7 @@ def p5_departures(spark: SparkSession, d: str) -> DataFrame:
         ("monto_estimado", "size"): F.floor(size / 250), ("monto_estimado", "form"): F.concat(form, F.when(monto < 0, "-").otherwise("")), ("monto_estimado", "value"): monto,
         ("region_unidad", "value"): region, ("region_unidad", "form"): _shape(region),
         ("fecha_cierre", "days"): F.when(days < -365, -9999).when(days > 730, 9999).otherwise(F.floor(days / 7)),
-        ("fecha_cierre", "clock"): F.when(clock == "00:00:00", "midnight").when(clock.isNotNull(), F.substring(clock, 1, 2)), ("fecha_cierre", "value"): close.cast("date"),
+        ("fecha_cierre", "clock"): F.when(clock == "00:00:00", "midnight").when(clock.isNotNull(), F.substring(clock, 1, 2)),
     }
     parts = departures(df, "source_file_id", features)
     sums = []
