@@ -30,9 +30,9 @@ SPANISH = "áéíóúüñÁÉÍÓÚÜÑ"
 SIGNS_OF_SPANISH = "º°"
 # Signs that may rightly follow, or rightly precede, a letter.
 AFTER = set("”’…»º°ª—–™®©²³¹‰†‡›,;:.!?)•·")
-BEFORE = set("“‘’«¡¿—–•·±¤£¥§$€¶#†‡‹(°º~")
+BEFORE = set("“‘’«¡¿—–•·¤£¥§$€¶#†‡‹(°º~")
 # Capitals that may stand within a capitalised word of the languages met.
-CAPITALS = set("ÁÉÍÓÚÜÑÇÃÂÊÔÀÕÄÖ")
+CAPITALS = set("ÁÉÍÓÚÜÑÇÃÂÊÔÀÄÖ")
 SUSPECT = r"[^\x00-\x7FáéíóúñÁÉÍÓÚÑüÜ]|\?"
 
 
@@ -114,6 +114,8 @@ def _accept(text: str, at: int, w: str, letters: set[str]) -> bool:
                 return before.isupper() and after.isupper()
 
             return True
+        if w == "…" and left and before.isupper() and text.upper() == text:
+            return "É" in letters
         if w == "—":
             return right and after.islower() and not before.strip() and "Ñ" in letters
         if w == "·":
@@ -124,13 +126,16 @@ def _accept(text: str, at: int, w: str, letters: set[str]) -> bool:
             return True
         if w in SPANISH:
             return False
+        if left and right and before.isupper() and after.islower() and w not in CAPITALS:
+            return True
         if left and right and before.isupper() and after.isupper() or left and not right and before.isupper() or right and not left and after.isupper():
             return w not in CAPITALS and any(c.isupper() for c in letters) and not (w == "Õ" and after == "E")
         if right and not left and after.islower():
-            return w in "ÐÝÞ"
+            return w in "ÐÝÞË"
         return False
     if w == "ß":
-        return not (left and before.lower() in "aeiouáéíóúäöüy")
+        hiatus = before in "iI" and right and after.lower() not in "aeiouáéíóúäöüy" and text[at - 2 : at - 1].lower() not in "aeo"
+        return hiatus or not (left and before.lower() in "aeiouáéíóúäöüy")
     if unicodedata.name(w, "").startswith(("GREEK", "CYRILLIC")):
         near = before if left else after
         return unicodedata.name(near, "").startswith("LATIN")
