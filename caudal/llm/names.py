@@ -142,6 +142,9 @@ def _canonical(word: str, units: bool) -> str | None:
                 most = 1 if len(w) < 8 else 2
                 if edits(word, w, most) <= most:
                     return w
+        for form, w in short.items():
+            if len(form) >= 5 and len(word) >= 5 and form[0] == word[0] and edits(word, form, 1) <= 1:
+                return w
     return None
 
 
