@@ -99,4 +99,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_links, p6_found, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shapes)}
-ORACLE: dict[str, str] = {}
+_GRAMS = "SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {id} AS id, regexp_extract_all(strip_accents(lower({text})), '[a-z0-9]+') AS w FROM {table}) a) b"
+ORACLE = {
+    "p7_found": f"""WITH d AS ({_GRAMS.format(id='doc_id', text='text', table='documents')}), e AS ({_GRAMS.format(id='item_id', text='passage', table='eval_passages')})
+        SELECT DISTINCT d.id AS doc_id, e.id AS item_id FROM d JOIN e ON d.g = e.g""",
+}
