@@ -144,5 +144,29 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_departures(spark, d).where(F.col("departing") >= at_least).select(F.col("load_id").alias("source_file_id"), "column_name").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rejects, p2_loaded_licitacion, p2_loaded_orden_compra, p3_found, p3_changes, p5_found, p5_departures, p5_profile)}
-ORACLE = {"p3_found": P3_FOUND_SQL}
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of the profile: rows, nulls and distinct values of every column in every load."""
+    return p5_profile(spark, d).select("table_name", "load_id", "column_name", "n_rows", "n_nulls", "n_distinct")
+
+
+# Columns of the profiled tables, for the SQL of the counts.
+_COLUMNS = {
+    "normalized_licitaciones": "codigo_externo codigo nombre descripcion tipo_adquisicion tipo_adquisicion_norm codigo_estado estado tipo moneda_adquisicion visibilidad_monto_raw monto_estimado numero_oferentes codigo_organismo nombre_organismo codigo_unidad nombre_unidad comuna_unidad region_unidad fecha_publicacion fecha_cierre fecha_adjudicacion cantidad_dias_licitacion flag_licitacion_publica flag_menos_100_utm row_hash_sha256 created_at updated_at",
+    "normalized_suppliers": "supplier_key codigo_proveedor rut_proveedor nombre_proveedor razon_social_proveedor actividad_proveedor comuna_proveedor region_proveedor pais_proveedor created_at updated_at",
+    "normalized_buyers": "buyer_key codigo_unidad_compra rut_unidad_compra unidad_compra codigo_organismo_publico organismo_publico sector actividad_comprador ciudad_unidad_compra region_unidad_compra pais_unidad_compra created_at updated_at",
+    "mercado_publico_notice_snapshot": "id payload_id endpoint_name source_mode external_notice_code notice_title official_status_code official_status_name publication_date close_date buyer_org_code buyer_org_name buyer_unit_code buyer_unit_name currency_code estimated_amount payload_sha256 observed_at synced_at",
+    "silver_notice_line": "notice_line_id notice_id line_number item_code onu_product_code category_level_1 category_level_2 category_level_3 generic_product_name line_name line_description_raw line_description_clean unit_of_measure quantity_requested row_hash_sha256 created_at updated_at",
+    "silver_purchase_order": "purchase_order_id purchase_order_code purchase_order_name purchase_order_description_raw purchase_order_type purchase_order_status_code purchase_order_status_name order_created_at order_accepted_at total_amount net_total_amount currency_code supplier_key linked_notice_id is_linked_to_notice_flag is_direct_award_flag is_agile_purchase_flag created_at updated_at",
+    "silver_purchase_order_line": "purchase_order_line_id purchase_order_id line_item_id linked_notice_id onu_product_code category_code category_name category_level_1 category_level_3 generic_product_name buyer_item_spec_raw buyer_item_spec_clean supplier_item_spec_raw quantity_ordered unit_of_measure line_currency unit_net_price line_net_total row_hash_sha256 created_at updated_at",
+}
+P5_COUNTS_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST({PROFILED[t][0]} AS VARCHAR) AS load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_nulls, count(DISTINCT {c}) AS n_distinct FROM {t} GROUP BY {PROFILED[t][0]}"
+    for t, cs in _COLUMNS.items()
+    for c in cs.split()
+)
+P3_CHANGES_SQL = P3_FOUND_SQL.replace(
+    "END AS change_kind\n", "END AS change_kind, o.st AS old_status, o.h AS old_sha256, n.st AS new_status, n.h AS new_sha256\n"
+).replace("AS snapshot_date, coalesce", "AS snapshot, coalesce").replace("AS external_notice_code,\n", "AS key,\n")
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_rejects, p2_loaded_licitacion, p2_loaded_orden_compra, p3_found, p3_changes, p5_found, p5_departures, p5_profile, p5_counts)}
+ORACLE = {"p3_found": P3_FOUND_SQL, "p3_changes": P3_CHANGES_SQL, "p5_counts": P5_COUNTS_SQL}
