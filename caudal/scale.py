@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -27,6 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+_written: list[str] = []
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that this process wrote into the shared folder; frames built on them end with them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _written:
+        with contextlib.suppress(Exception):
+            cleanup(spark)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table into the shared folder and read it back.
 
@@ -35,6 +56,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

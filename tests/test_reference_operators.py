@@ -258,6 +258,17 @@ def test_materialised_tables_are_in_the_shared_folder(spark):
     assert "Broadcast" in _plan(df.join(small, "id")) and large is df
 
 
+def test_cleanup_deletes_what_was_written(spark):
+    from pathlib import Path
+
+    from caudal import scale
+
+    path = Path(materialize(spark.range(3)).inputFiles()[0].replace("file://", "")).parent
+    assert path.exists()
+    scale.cleanup(spark)
+    assert not path.exists()
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
