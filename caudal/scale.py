@@ -42,9 +42,9 @@ def cleanup(spark: SparkSession) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _written:
-        with contextlib.suppress(Exception):
+    with contextlib.suppress(Exception):
+        spark = SparkSession.getActiveSession() if _written else None
+        if spark is not None:
             cleanup(spark)
 
 
