@@ -112,26 +112,26 @@ def _clean_sql(col: str) -> str:
 
 @query(f"""SELECT codigo_externo, codigo, {_clean_sql('nombre')} AS nombre, codigo_estado, CAST(monto_estimado AS DOUBLE) AS monto_estimado, numero_oferentes, {_clean_sql('region_unidad')} AS region_unidad, fecha_publicacion, fecha_cierre,
     CAST(floor((epoch(fecha_cierre) - epoch(fecha_publicacion)) / 86400) AS INTEGER) AS cantidad_dias_licitacion, row_hash_sha256 FROM normalized_licitaciones""")
-def p1_tender(spark: SparkSession, d: str) -> DataFrame:
+def entity_tender(spark: SparkSession, d: str) -> DataFrame:
     out = project(as_raw(read(spark, d, "normalized_licitaciones"), _TENDER), TENDER_LANE["tender"])
     return out.select("codigo_externo", "codigo", "nombre", "codigo_estado", c("monto_estimado").cast("double").alias("monto_estimado"), "numero_oferentes", "region_unidad", "fecha_publicacion", "fecha_cierre", "cantidad_dias_licitacion", "row_hash_sha256")
 
 
 @query(f"SELECT notice_id, line_number, item_code, {_clean_sql('onu_product_code')} AS onu_product_code, category_level_1, generic_product_name, CAST(quantity_requested AS DOUBLE) AS quantity_requested, row_hash_sha256 FROM silver_notice_line")
-def p10_notice_line(spark: SparkSession, d: str) -> DataFrame:
+def entity_notice_line(spark: SparkSession, d: str) -> DataFrame:
     out = project(as_raw(read(spark, d, "silver_notice_line"), _NOTICE_LINE), TENDER_LANE["notice_line"])
     return out.select("notice_id", "line_number", "item_code", "onu_product_code", "category_level_1", "generic_product_name", c("quantity_requested").cast("double").alias("quantity_requested"), "row_hash_sha256")
 
 
 @query("""SELECT purchase_order_id, purchase_order_code, order_created_at, order_accepted_at, CAST(total_amount AS DOUBLE) AS total_amount, linked_notice_id, linked_notice_id IS NOT NULL AS is_linked_to_notice_flag, coalesce(is_direct_award_flag, false) AS is_direct_award_flag,
     CAST(floor((epoch(order_accepted_at) - epoch(order_created_at)) / 86400) AS INTEGER) AS days_to_acceptance FROM silver_purchase_order""")
-def p13_purchase_order(spark: SparkSession, d: str) -> DataFrame:
+def entity_purchase_order(spark: SparkSession, d: str) -> DataFrame:
     out = project(as_raw(read(spark, d, "silver_purchase_order"), _ORDER), ORDER_LANE["purchase_order"])
     return out.select("purchase_order_id", "purchase_order_code", "order_created_at", "order_accepted_at", c("total_amount").cast("double").alias("total_amount"), "linked_notice_id", "is_linked_to_notice_flag", "is_direct_award_flag", c("days_order_creation_to_acceptance").alias("days_to_acceptance"))
 
 
 @query(f"SELECT purchase_order_id, line_item_id, {_clean_sql('onu_product_code')} AS onu_product_code, category_code, CAST(quantity_ordered AS DOUBLE) AS quantity_ordered, CAST(unit_net_price AS DOUBLE) AS unit_net_price, row_hash_sha256 FROM silver_purchase_order_line")
-def p14_purchase_order_line(spark: SparkSession, d: str) -> DataFrame:
+def entity_purchase_order_line(spark: SparkSession, d: str) -> DataFrame:
     out = project(as_raw(read(spark, d, "silver_purchase_order_line"), _ORDER_LINE), ORDER_LANE["purchase_order_line"])
     return out.select("purchase_order_id", "line_item_id", "onu_product_code", "category_code", c("quantity_ordered").cast("double").alias("quantity_ordered"), c("unit_net_price").cast("double").alias("unit_net_price"), "row_hash_sha256")
 
