@@ -6,6 +6,8 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +75,25 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if byte_size(df) <= limit else df
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: their Python workers import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="caudal-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+
+
 def read(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | list[DataFrame]:
     """Tables ``names`` of the folder ``sf_dir``."""
+    ship_package(spark)
     frames = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
     return frames[0] if len(frames) == 1 else frames
