@@ -68,3 +68,16 @@ def detail_candidates(notices: DataFrame, target: Column, open_days: int = 7, st
     stale = F.col("detail_date").isNull() | (F.datediff(target, F.col("detail_date")) >= stale_days)
     ranked = notices.where(stale).withColumn("rank_open", F.when(closing, 0).otherwise(1))
     return ranked.orderBy("rank_open", F.col("close_date").asc_nulls_last(), F.col("detail_date").asc_nulls_first(), "code").limit(most)
+
+
+def newest(runs: DataFrame, by: str, tie: str, most: int = 200, **equal: object) -> DataFrame:
+    """The newest runs or files, filtered by the values given; the limit is the size of the listing."""
+    for column, value in equal.items():
+        runs = runs if value is None else runs.where(F.col(column) == F.lit(value))
+    return runs.orderBy(F.col(by).desc_nulls_last(), F.col(tie).desc_nulls_last()).limit(most)
+
+
+def summary_of_day(snapshots: DataFrame, day: Column) -> DataFrame:
+    """The stored summary to serve on ``day``: the latest generated that day, else none (a fresh one is due)."""
+    today = snapshots.where(F.to_date("generated_at") == day)
+    return today.orderBy(F.col("generated_at").desc(), F.col("id").desc()).limit(1)

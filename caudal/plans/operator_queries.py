@@ -444,3 +444,37 @@ def l3_stream_latest(spark: SparkSession, d: str) -> DataFrame:
     table = VersionedTable(spark, f"{at}/table")
     merge_latest(stream, table, "external_notice_code", "source_mode", "synced_at", "id", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return table.read().select("external_notice_code", "id", "source_mode")
+
+
+@query(f"{_OPEN} SELECT o.*, s.source_mode, s.official_status_name AS snapshot_status FROM o LEFT JOIN s ON s.external_notice_code = o.notice_id WHERE o.notice_id LIKE '%-LP26'")
+def r4_detail_header(spark: SparkSession, d: str) -> DataFrame:
+    """Header of each notice of one kind with the source of its latest snapshot."""
+    s = la.latest_snapshots(read(spark, d, "mercado_publico_notice_snapshot"), "external_notice_code", "source_mode", "synced_at", "id")
+    side = s.select(c("external_notice_code").alias("notice_id"), "source_mode", c("official_status_name").alias("snapshot_status"))
+    return opportunities(spark, d).where(c("notice_id").like("%-LP26")).join(side, "notice_id", "left")
+
+
+@query("""SELECT linked_notice_id AS notice_id, purchase_order_id, purchase_order_status_name, order_created_at, CAST(total_amount AS DOUBLE) AS total_amount,
+    CAST(row_number() OVER (PARTITION BY linked_notice_id ORDER BY order_created_at ASC NULLS LAST, purchase_order_id) AS INTEGER) AS position FROM silver_purchase_order WHERE linked_notice_id IS NOT NULL""")
+def r7_detail_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of each notice in the order of their creation."""
+    from pyspark.sql import Window
+
+    po = read(spark, d, "silver_purchase_order").where("linked_notice_id IS NOT NULL")
+    position = F.row_number().over(Window.partitionBy("linked_notice_id").orderBy(c("order_created_at").asc_nulls_last(), "purchase_order_id"))
+    return po.select(c("linked_notice_id").alias("notice_id"), "purchase_order_id", "purchase_order_status_name", "order_created_at", c("total_amount").cast("double").alias("total_amount"), position.alias("position"))
+
+
+_LISTED = ["normalized_licitaciones", "normalized_suppliers", "normalized_buyers", "silver_notice_line", "silver_purchase_order", "silver_purchase_order_line", "silver_notice_purchase_order_link", "documents"]
+
+
+@query(f"SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({', '.join(repr(x) for x in _LISTED)})")
+def a1q_catalog_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Tables and their columns."""
+    return spark.createDataFrame([(x, n) for x in _LISTED for n in read(spark, d, x).columns], "table_name string, column_name string")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY ts DESC, event_id DESC LIMIT 200")
+def r9_newest_runs(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    return ledger.newest(e, "ts", "event_id", event_type=e.agg(F.min("event_type")).first()[0]).select("event_id", "event_type")

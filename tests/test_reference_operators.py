@@ -278,3 +278,19 @@ def test_pushdown_and_pruning(spark, tmp_path):
     spark.range(100).selectExpr("id", "id % 3 AS a", "'x' AS unused").write.parquet(path)
     plan = _plan(latest.search(spark.read.parquet(path), equal={"a": 1}).select("id"))
     assert "PushedFilters: [IsNotNull(a), EqualTo(a,1)]" in plan and "unused" not in plan
+
+
+def test_json_lines_and_export(spark, tmp_path):
+    from caudal.sources import files
+
+    df = spark.createDataFrame([("a", 1, 'x "y"; z'), ("b", None, None), ("c", 3, "=1+1")], "k string, n int, t string")
+    files.write_json_lines(df, str(tmp_path / "j"))
+    back = files.read_json_lines(spark, str(tmp_path / "j"), "k string, n int, t string")
+    assert sorted(map(str, back.drop("bad_line").collect())) == sorted(map(str, df.collect()))
+    (tmp_path / "bad.json").write_text('{"k": "a"}\nnot json\n')
+    rows = files.read_json_lines(spark, str(tmp_path / "bad.json"), "k string, n int").collect()
+    assert {(r["k"], r["bad_line"]) for r in rows} == {("a", None), (None, "not json")}
+    files.export_delimited(df.coalesce(1), str(tmp_path / "e"))
+    text = next((tmp_path / "e").glob("part-*")).read_bytes().decode()
+    assert text == '"k";"n";"t"\r\n"a";"1";"x ""y""; z"\r\n"b";"";""\r\n"c";"3";"\'=1+1"\r\n'
+    assert ledger.newest(df, "n", "k", most=2, t=None).count() == 2
