@@ -199,9 +199,8 @@ def mix(
     )
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "available_tokens", "mixed_tokens")]
     shares = joined.select(F.col("name").alias("source_name"), "target_share", "max_repeats", "blocks", "quota_blocks", *zero, F.coalesce("most_copies", F.lit(0)).alias("most_copies")).unionByName(none)
-    total = shares.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    shares = shares.crossJoin(F.broadcast(total)).withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.col("all_tokens").cast("double")), F.lit(0.0)))
-    return mixture, shares.drop("all_tokens")
+    total = used.agg(F.sum("mixed_tokens").alias("t")).first()["t"] or 0
+    return mixture, shares.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(max(1, total))))
 
 
 def _by_kind(kinds: list[tuple[int, int]], seats: int, repeats: int) -> tuple[dict[int, int], dict[int, int]]:
