@@ -113,7 +113,7 @@ def moments(stats: DataFrame) -> DataFrame:
     )
 
 
-def departures(df: DataFrame, load: str, features: dict[tuple[str, str], Column], least_share: float = 0.01) -> DataFrame:
+def departures(df: DataFrame, load: str, features: dict[tuple[str, str], Column], least_share: float = 0.01, tails: tuple[float, ...] = (0.01, 0.05)) -> DataFrame:
     """Share of a load's rows that depart, in one way, from what a column shows in the other loads.
 
     ``features`` maps (column, feature name) to an expression that puts a row into a bin (null is a bin).
@@ -122,8 +122,13 @@ def departures(df: DataFrame, load: str, features: dict[tuple[str, str], Column]
     s of the rows moved there from the usual mixture, the excess is s (1 - usual share), so
     s = excess / (1 - usual share), both summed over those bins.
 
+    Rows that went to many bins, too few into each to exceed alone, are seen in the tails: for each limit
+    in ``tails``, the bins whose usual share is under it are one bin, set against the median tail of the
+    other loads in the same way (a bin that exceeds alone stands in its tail with its usual share). The
+    greatest s counts.
+
     Result: load_id, column_name, feature, departing. Bins under ``least_share`` in every load can't
-    exceed and are left out. One load alone has no others and gives no rows; a null load is a load.
+    exceed alone. One load alone has no others and gives no rows; a null load is a load.
     """
     load_id = F.coalesce(F.col(load).cast("string"), F.lit(""))
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(f).alias("feature"), b.cast("string").alias("bin")) for (c, f), b in features.items()])
@@ -137,14 +142,35 @@ def departures(df: DataFrame, load: str, features: dict[tuple[str, str], Column]
         .withColumn("p", F.col("n") / F.col("n_load"))
         .groupBy("column_name", "feature", "bin")
         .agg(F.collect_list(F.struct("load_id", "p", "n_load")).alias("all"), F.max("p").alias("most"))
-        .where(F.col("most") >= least_share)
-        .select("column_name", "feature", "all", F.explode("all").alias("own"))
-    )
-    others = F.array_sort(F.transform(F.filter("all", lambda x: x.load_id != F.col("own.load_id")), lambda x: x.p))
-    at = F.lit((n_loads - 1) // 2) - (F.lit(n_loads - 1) - F.size(others))
-    usual = F.when(at < 0, 0.0).otherwise(F.get(others, at))
-    p, q, n = F.col("own.p"), F.col("usual"), F.col("own.n_load")
-    excess = bins.withColumn("usual", usual).where(p - q > 4 * F.sqrt(q * (1 - q) / n + 1 / (n * n)) + 0.01)
-    return excess.groupBy(F.col("own.load_id").alias("load_id"), "column_name", "feature").agg(
-        (F.sum(p - q) / F.greatest(1 - F.sum(q), F.lit(0.01))).alias("departing")
+        .select("column_name", "feature", "all", "most", F.explode("all").alias("own"))
     )
+
+    def median_of_others(field: str) -> Column:
+        others = F.array_sort(F.transform(F.filter("all", lambda x: x.load_id != F.col("own.load_id")), lambda x: x[field]))
+        at = F.lit((n_loads - 1) // 2) - (F.lit(n_loads - 1) - F.size(others))  # loads without the bin have none of it
+        return F.when(at < 0, 0.0).otherwise(F.get(others, at))
+
+    def exceeds(p: Column, q: Column, n: Column) -> Column:
+        return p - q > 4 * F.sqrt(q * (1 - q) / n + 1 / (n * n)) + 0.01
+
+    usual = F.when(F.col("most") < least_share, 0.0).otherwise(median_of_others("p"))
+    p, q, n, over = F.col("own.p"), F.col("usual"), F.col("own.n_load"), F.col("over")
+    each = bins.withColumn("usual", usual).withColumn("over", (F.col("most") >= least_share) & exceeds(p, q, n))
+
+    def total(c: Column, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, c)), F.lit(0.0))
+
+    parts = [total(p - q, over).alias("excess"), total(q, over).alias("usual")]
+    for i, limit in enumerate(tails):
+        parts += [total(F.when(over, q).otherwise(p), q < limit).alias(f"tail_{i}"), total(q, over & (q < limit)).alias(f"in_tail_{i}")]
+    loads = each.groupBy(F.col("own.load_id").alias("load_id"), "column_name", "feature").agg(F.first(n).alias("n_load"), *parts)
+    # At most one row a load.
+    loads = loads.groupBy("column_name", "feature").agg(F.collect_list(F.struct(*[c for c in loads.columns if c not in ("column_name", "feature")])).alias("all"))
+    loads = loads.select("column_name", "feature", "all", F.explode("all").alias("own"))
+    share = [F.col("own.excess") / F.greatest(1 - F.col("own.usual"), F.lit(0.01))]
+    for i in range(len(tails)):
+        t, m = F.col(f"own.tail_{i}"), F.col(f"median_{i}")
+        loads = loads.withColumn(f"median_{i}", median_of_others(f"tail_{i}"))
+        rest = 1 - F.col("own.usual") - m + F.col(f"own.in_tail_{i}")
+        share.append(F.when(exceeds(t, m, n), (F.col("own.excess") + t - m) / F.greatest(rest, F.lit(0.01))).otherwise(0.0))
+    return loads.select(F.col("own.load_id").alias("load_id"), "column_name", "feature", F.greatest(*share).alias("departing")).where("departing > 0")

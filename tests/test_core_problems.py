@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from caudal.operators.profile import departures, profile
 from caudal.operators.snapshot_diff import snapshot_changes
+from caudal.plans.core_queries import p5_found
 from caudal.sources.delimited import Feed, date_problem, loaded, number_problem, number_value, parse_feed, rejected, split_record
 
 
@@ -138,3 +139,19 @@ def test_departures(spark):
     assert abs(got["odd"] - 0.4) < 0.02 and not any(k.startswith("l") for k in got)
     assert departures(df.where("l = 'odd'"), "l", {("v", "value"): F.col("v")}).count() == 0
     assert departures(df.limit(0), "l", {("v", "value"): F.col("v")}).count() == 0
+
+
+def test_departures_spread_thinly(spark, tmp_path):
+    """A third of a load's rows in many bins of under one percent each, with sentinels in all loads."""
+    start = dt.datetime(2026, 1, 5, 12)
+    letters = "abcdefghijklmnopqrst"
+    rows = []
+    for load in ("l0", "l1", "l2", "l3", "dates", "regions"):
+        for i in range(800):
+            moved = i % 20 < 8
+            region = f"Región {letters[i // 20 % 20].upper()}{letters[i // 40]}aule" if load == "regions" and moved else "Región Maule" if i % 2 else "Región Ñuble"
+            days = (i * 7919) % 1080 - 360 if load == "dates" and moved else 14 + i % 14
+            close = dt.datetime(1900, 1, 1) if i % 20 == 19 else start + dt.timedelta(days=days, hours=i % 8)
+            rows.append((load, Decimal(1000 * (1 + i % 9)), region, close, start))
+    spark.createDataFrame(rows, "source_file_id string, monto_estimado decimal(20,6), region_unidad string, fecha_cierre timestamp_ntz, created_at timestamp").write.parquet(f"{tmp_path}/normalized_licitaciones.parquet")
+    assert {tuple(r) for r in p5_found(spark, str(tmp_path)).collect()} == {("dates", "fecha_cierre"), ("regions", "region_unidad")}
