@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from caudal.scale import broadcast_if_small, materialize
 
 #: Least similarity of two names of one entity.
 ACCEPT = 0.86
-#: Codes that more than this part of the records hold form no block beside a place alone.
+#: Codes that more than this part of the records hold form no block with one end of another word alone.
 COMMON = 0.01
 #: A block of more classes than this is split by place.
 HOT = 64
@@ -40,15 +41,15 @@ class Attributes:
     units: bool = False
 
 
-FEATURES = T.StructType([T.StructField("f", T.StringType()), T.StructField("place", T.StringType()), T.StructField("context", T.StringType()), T.StructField("codes", T.ArrayType(T.ArrayType(T.StringType())))])
+FEATURES = T.StructType([T.StructField("f", T.StringType()), T.StructField("known", T.ArrayType(T.StringType())), T.StructField("codes", T.ArrayType(T.ArrayType(T.StringType())))])
 
 
 def _plain(text: str | None) -> str:
     return " ".join(words_of(text or ""))
 
 
-def features(names: list[str | None], same: list[str | None], identity: str | None, owner: list[str | None], units: bool) -> tuple[str, str, str, list[list[str]]] | None:
-    """What is compared of a record, as JSON; its place; its other context; the phonetic codes of its names."""
+def features(names: list[str | None], same: list[str | None], identity: str | None, owner: list[str | None], units: bool) -> tuple[str, list[str], list[list[str]]] | None:
+    """What is compared of a record, as JSON; its place, other attributes and owner's code; the phonetic codes of its names."""
     parsed = [n for n in dict.fromkeys(parse(t, units) for t in names) if n]
     if not parsed:
         return None
@@ -56,8 +57,7 @@ def features(names: list[str | None], same: list[str | None], identity: str | No
     ident = re.sub(r"[^0-9K]", "", (identity or "").upper())
     own = [re.sub(r"\W", "", (owner[0] or "").lower()), _plain(owner[1])] if owner else ["", ""]
     f = json.dumps([[[*map(list, (n.core, n.given, n.initials, sorted(n.kind))), n.suffix] for n in parsed], places, ident, own], ensure_ascii=False)
-    context = own[0] or "|".join(places[1:]) if any(places[1:]) or own[0] else ""
-    return f, places[0], context, [codes(n) + [i for i in n.initials] for n in parsed]
+    return f, [*places, own[0]], [codes(n) + [i for i in n.initials] for n in parsed]
 
 
 @lru_cache(maxsize=20_000)
@@ -101,11 +101,13 @@ def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
     """Pairs of keys of one entity: key_a < key_b as strings, all pairs of a cluster.
 
     Records whose compared features agree count as one class, so copies are compared once. Classes are
-    blocked by phonetic codes of their sorted telling words: two codes together, or one code that is not
-    common with the place (or other context) and the first or last sound of another word (a common code:
-    with both), or the identity number. A block of over ``HOT`` classes is split by place, where classes of unknown place go with
-    every place of the block; as differing places contradict, no link is lost by that. Accepted pairs are
-    clustered by connected components, over classes that share a key as well.
+    blocked by phonetic codes of their sorted telling words: two codes together, or one code with the first
+    or last sound of another word (a common code: with both), or the whole name, or the identity number. No
+    block asks for a place or other attribute, so a record in which they are unknown meets all of its blocks.
+    A block of over ``HOT`` classes is split by place, where classes of unknown place go with every place of
+    the block, and pairs with differing known attributes are dropped before their names are compared; as
+    these contradict, no link is lost by that. Accepted pairs are clustered by connected components, over
+    classes that share a key as well.
 
     Null keys and records without any name are left out; repeated rows count once; an empty table gives
     no rows.
@@ -124,7 +126,7 @@ def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
         ident = fields(frame, (attrs.identity,)) if attrs.identity else [[None]] * len(frame)
         owner = fields(frame, attrs.owner) if attrs.owner else [None] * len(frame)
         rows = [features(n, s, i[0], o, attrs.units) for n, s, i, o in zip(names, same, ident, owner)]
-        return pd.DataFrame([r or (None, None, None, None) for r in rows], columns=["f", "place", "context", "codes"])
+        return pd.DataFrame([r or (None, None, None) for r in rows], columns=["f", "known", "codes"])
 
     records = df.select(F.col(a.key).cast("string").alias("key"), F.struct(*[F.col(c).cast("string").alias(c) for c in wanted]).alias("r")).where("key IS NOT NULL").distinct()
     records = materialize(records.select("key", extract("r").alias("x")).where("x.f IS NOT NULL").select("key", "x.*").withColumn("class", F.xxhash64("f")))
@@ -136,43 +138,44 @@ def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
     usual = {r["code"] for r in held.where(F.col("n") > max(20, COMMON * n)).select("code").collect()}
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def blocks(codes_: pd.Series, place: pd.Series, context: pd.Series, f: pd.Series) -> pd.Series:
+    def blocks(codes_: pd.Series, f: pd.Series) -> pd.Series:
         out = []
-        for cs, p, c, feats in zip(codes_, place, context, f):
+        for cs, feats in zip(codes_, f):
             keys = set()
             for one in cs:
                 one = sorted(set(one))
                 long = [x for x in one if len(x) > 1]
                 keys.update(f"2|{x}|{y}" for x, y in combinations(long, 2) if x not in usual or y not in usual)
                 for x in long:
-                    if x in usual:  # beside its context only, and with both ends of another word
-                        keys.update(f"b|{x}|{c or p}|{y[0]}{y[-1]}" for y in long if y != x and (c or p))
-                        continue
-                    ends = {e for y in one if y != x for e in (f"<{y[0]}", f">{y[-1]}")} or {""}
-                    keys.update(f"p|{x}|{p}|{e}" for e in ends if p)
-                    keys.update(f"c|{x}|{c}|{e}" for e in ends if c)
-            names, _, ident, own = _load(feats)
+                    if x in usual:  # with both ends of another word
+                        keys.update({f"b|{x}|{y[0]}{y[-1]}" for y in long if y != x} or {f"b|{x}|"})
+                    else:
+                        keys.update(f"e|{x}|{e}" for e in {e for y in one if y != x for e in (f"<{y[0]}", f">{y[-1]}")} or {""})
+            names, _, ident, _ = _load(feats)
             if ident:
                 keys.add(f"i|{ident}")
             for nm in names:
                 whole = "".join(nm.core)
                 if len(whole) >= 6:
-                    keys.add(f"w|{phonetic(whole)}|{own[0] or p}")
+                    keys.add(f"w|{phonetic(whole)}")
             out.append(sorted(keys))
         return pd.Series(out)
 
-    keyed = materialize(classes.select("class", "place", F.explode(blocks("codes", "place", "context", "f")).alias("block")))
+    keyed = materialize(classes.select("class", "known", F.explode(blocks("codes", "f")).alias("block")).withColumn("block", F.xxhash64("block")))
     sizes = keyed.groupBy("block").agg(F.count("*").alias("size"))
-    live = keyed.join(broadcast_if_small(materialize(sizes.where("size > 1"))), "block")
-    cool = live.where(F.col("size") <= HOT).select("class", "block")
-    hot = live.where(F.col("size") > HOT)
-    places = hot.where("place <> ''").select("block", "place").distinct()
-    placed = hot.where("place <> ''").select("class", F.concat_ws("|", "block", "place").alias("block"))
-    unplaced = hot.where("place = ''").select("class", "block").join(places, "block").select("class", F.concat_ws("|", "block", "place").alias("block"))
-    alone = hot.where("place = ''").select("class", F.concat_ws("|", "block", F.lit("?")).alias("block"))
-    split = materialize(cool.unionByName(placed).unionByName(unplaced).unionByName(alone))
-
-    pairs = split.alias("l").join(split.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.class") < F.col("r.class"))).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
+    live = materialize(keyed.join(broadcast_if_small(materialize(sizes.where("size > 1"))), "block"))
+    place = F.get("known", F.lit(0))
+    cool, placed, unplaced, hot = (live.where(w).select("block", "class", "known", place.alias("place")) for w in (F.col("size") <= HOT, (F.col("size") > HOT) & (place != ""), (F.col("size") > HOT) & (place == ""), F.col("size") > HOT))
+
+    def meet(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+        """Pairs of classes of one block of which no known attribute differs."""
+        l, r = x.alias("l"), y.alias("r")
+        ordered = F.col("l.class") < F.col("r.class") if x is y else (F.col("r.place") != "") | (F.col("l.class") < F.col("r.class"))
+        agree = [(F.get("l.known", F.lit(i)) == F.get("r.known", F.lit(i))) | (F.get("l.known", F.lit(i)) == "") | (F.get("r.known", F.lit(i)) == "") for i in range(len(attrs.same) + 1)]
+        both = l.join(r, reduce(and_, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [ordered] + agree))
+        return both.select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
+
+    pairs = materialize(meet(cool, cool, "block").unionByName(meet(placed, placed, "block", "place")).unionByName(meet(unplaced, hot, "block")).distinct())
     feats = classes.select("class", "f")
     both = pairs.join(feats.select(F.col("class").alias("a"), F.col("f").alias("fa")), "a").join(feats.select(F.col("class").alias("b"), F.col("f").alias("fb")), "b")
 

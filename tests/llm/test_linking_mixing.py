@@ -56,6 +56,19 @@ def test_links(spark, monkeypatch):
     assert variants.link_variants(df.limit(0), variants.SUPPLIERS).count() == 0
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_links_with_unknown_attributes(spark, monkeypatch, hot):
+    """One of two words mistyped, place and activity unknown on one side."""
+    monkeypatch.setattr(variants, "HOT", hot)
+    rows = [
+        ("a", "Consultores Llavelsco Guapepu S.A.", None, "Talca", "R", "x", "1.234-5"), ("b", "Consultores Llavelsco Guapeu S.A.", None, None, "R", None, None),
+        ("c", "Alimentos Velbún Velfella E.I.R.L.", None, "Curicó", "R", "y", None), ("d", "Alimentos Veblún Velfella E.I.R.L.", None, None, None, "y", None), ("e", "Consultores Llavelsco Guapeu S.A.", None, "Curicó", "S", "z", None),
+    ]
+    cols = "supplier_key string, nombre_proveedor string, razon_social_proveedor string, comuna_proveedor string, region_proveedor string, actividad_proveedor string, rut_proveedor string"
+    got = {(r["key_a"], r["key_b"]) for r in variants.link_variants(spark.createDataFrame(rows, cols), variants.SUPPLIERS).collect()}
+    assert got == {("a", "b"), ("c", "d")}
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_components(spark, edges):
