@@ -189,7 +189,12 @@ KEYS = T.ArrayType(T.LongType())
 
 
 def candidates(orders: DataFrame, notices: DataFrame) -> DataFrame:
-    """Scored candidate pairs: p, o, n, nt (order line, order, notice line, notice), pro, con."""
+    """Scored candidate pairs: p, o, n, nt (order line, order, notice line, notice), pro, con.
+
+    Besides the lines of common blocks, an order line without model and dimensions meets the notice lines of
+    its buyer, of its family where both are known, that share a word or the product code; and all lines of
+    an order and a notice meet of which any two are a candidate.
+    """
     n_notices = notices.count()
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for r in notices.select(F.explode(_buckets("words")).alias("b")).groupBy("b").agg(F.count("*").alias("n")).toLocalIterator():
@@ -228,16 +233,11 @@ def candidates(orders: DataFrame, notices: DataFrame) -> DataFrame:
         pairs = pairs.unionByName(a.where("size <> ''").join(b.where("size <> ''"), ["key", "size"]).select("p", "n"))
         pairs = pairs.unionByName(a.where("size = ''").drop("size").join(b.drop("size"), "key").select("p", "n"))
         pairs = pairs.unionByName(a.where("size <> ''").drop("size").join(b.where("size = ''").drop("size"), "key").select("p", "n"))
-    pairs = pairs.distinct()
+    pairs = pairs.unionByName(same_buyer(orders, notices)).distinct()
 
     p_side = orders.select(F.col("id").alias("p"), F.col("grp").alias("o"), F.struct(*FIELDS).alias("fp"))
     n_side = notices.select(F.col("id").alias("n"), F.col("grp").alias("nt"), F.struct(*FIELDS).alias("fn"))
     pro, con = evidence("fp", "fn")
-    weighed = pairs.join(p_side, "p").join(n_side, "n").select("p", "o", "n", "nt", F.col("fp.words").alias("wp"), F.col("fn.words").alias("wn"), pro.alias("pro0"), con.alias("con0"))
-    # Pairs that no text could make plausible need no look at it: this loses none.
-    best = F.col("pro0") + FOR["text"]
-    weighed = weighed.where(best >= PLAUSIBLE * (best + F.col("con0")))
-
     @F.pandas_udf(T.DoubleType())
     def text(wp: pd.Series, wn: pd.Series) -> pd.Series:
         weight = shared.value
@@ -251,9 +251,31 @@ def candidates(orders: DataFrame, notices: DataFrame) -> DataFrame:
 
         return pd.Series([near_words(list(a), list(b), weigh) for a, b in zip(wp, wn)], dtype="float64")
 
-    r = text("wp", "wn")
-    scored = weighed.withColumn("r", r).select("p", "o", "n", "nt", (F.col("pro0") + FOR["text"] * F.col("r")).alias("pro"), (F.col("con0") + AGAINST["text"] * (1 - F.col("r"))).alias("con"))
-    return scored.where(F.col("pro") >= PLAUSIBLE * (F.col("pro") + F.col("con")))
+    def scored(both: DataFrame) -> DataFrame:
+        weighed = both.select("p", "o", "n", "nt", F.col("fp.words").alias("wp"), F.col("fn.words").alias("wn"), pro.alias("pro0"), con.alias("con0"))
+        # Pairs that no text could make plausible need no look at it: this loses none.
+        best = F.col("pro0") + FOR["text"]
+        weighed = weighed.where(best >= PLAUSIBLE * (best + F.col("con0"))).withColumn("r", text("wp", "wn"))
+        out = weighed.select("p", "o", "n", "nt", (F.col("pro0") + FOR["text"] * F.col("r")).alias("pro"), (F.col("con0") + AGAINST["text"] * (1 - F.col("r"))).alias("con"))
+        return out.where(F.col("pro") >= PLAUSIBLE * (F.col("pro") + F.col("con")))
+
+    first = materialize(scored(pairs.join(p_side, "p").join(n_side, "n")))
+    linked = broadcast_if_small(materialize(first.select("o", "nt").distinct()))
+    siblings = p_side.join(linked, "o").join(n_side, "nt").join(broadcast_if_small(first.select("p", "n")), ["p", "n"], "left_anti")
+    return first.unionByName(scored(siblings))
+
+
+def same_buyer(orders: DataFrame, notices: DataFrame) -> DataFrame:
+    """Pairs p, n of order lines without model and dimensions and notice lines of their buyer that share a word or the code."""
+    fields = ["buyer", "code", "words"]
+    # Lines of known family meet by family and the unknown ones; "?" is the key of unknown families, "*" of all.
+    own = F.when(F.col("family") == "", F.array(F.lit("*"))).otherwise(F.array("family", F.lit("?")))
+    asked = F.array(F.when(F.col("family") == "", F.lit("?")).otherwise(F.col("family")), F.lit("*"))
+    plain = orders.where((F.size("models") == 0) & (F.size("sizes") == 0) & (F.col("buyer") != ""))
+    a = broadcast_if_small(materialize(plain.select(F.col("id").alias("p"), *fields, F.explode(own).alias("key")))).alias("a")
+    b = notices.where("buyer <> ''").select(F.col("id").alias("n"), *fields, F.explode(asked).alias("key")).alias("b")
+    shared = F.arrays_overlap("a.words", "b.words") | ((F.col("a.code") != "") & (F.col("a.code") == F.col("b.code")))
+    return b.join(a, (F.col("a.buyer") == F.col("b.buyer")) & (F.col("a.key") == F.col("b.key")) & shared).select("p", "n")
 
 
 LOCAL = "p long, o string, n long, nt string, pro double, con double, z double, u double, x double, zeta double"

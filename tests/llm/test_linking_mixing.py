@@ -151,6 +151,16 @@ def test_linkage(spark, monkeypatch, hot):
     assert linkage.candidates(o.limit(0), n).count() == 0 and linkage.candidates(o, n.limit(0)).count() == 0
 
 
+def test_candidates_of_buyer_and_siblings(spark):
+    """Part of the quantity, common words, no model, dimensions or colour: by the buyer, or by the order's other line."""
+    common = "Resma carta de lino"
+    notices = [notice(i, f"{100 + i}-1-LE26", common, 1000 + i) for i in range(60)] + [notice(70, "7-1-LE26", common, 80), notice(80, "8-1-LE26", common, 60), notice(81, "8-1-LE26", "Silla modelo TT-1111 goma", 5, fam="Muebles", code="5")]
+    orders = [notice(170, "7-5-SE26", common, 40, 50), notice(180, "9-5-SE26", common, 30, 50), notice(181, "9-5-SE26", "Silla goma mod TT 1111", 5, 50, fam="Muebles", code="5")]
+    n, o = frame(spark, notices), frame(spark, orders)
+    got = {(r["p"], r["n"]) for r in linkage.candidates(o, n).collect()}
+    assert got == {(170, 70), (180, 80), (181, 81)}
+
+
 # --- mixing
 
 
