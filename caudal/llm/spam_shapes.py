@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A page is flagged if its TOP_SHAPES most frequent non-sentence shapes hold more than this part of its text.
+#: A page is flagged if its non-sentence lines, of whatever shapes, hold more than this part of its text.
 SHARE = 0.5
+#: Shapes counted in the reported share of the most frequent ones.
 TOP_SHAPES = 6
 
 #: A phrase of two words held by so many neighbouring segments, oftener than STUFFED times each, is stuffed.
@@ -70,18 +71,17 @@ def _stuffed(words: list[list[str]]) -> set[int]:
     for g in grams:
         total.update(g)
     out: set[int] = set()
-    for phrase, n in total.most_common(3):
-        if n < 5:
-            break
-        at = 0
-        while at < len(grams):
-            end, held = at, 0
-            while end < len(grams) and phrase in grams[end]:
-                held += grams[end][phrase]
-                end += 1
-            if end - at >= STUFFED_RUN and held >= STUFFED * (end - at):
-                out.update(range(at, end))
-            at = max(end, at + 1)
+    often = {phrase for phrase, n in total.items() if n >= 5}
+    runs: dict[tuple[str, str], tuple[int, int]] = {}  # open runs: first segment, times held
+    for at, g in enumerate([*grams, Counter()]):
+        for phrase in [x for x in runs if x not in g]:
+            start, held = runs.pop(phrase)
+            if at - start >= STUFFED_RUN and held >= STUFFED * (at - start):
+                out.update(range(start, at))
+        for phrase, n in g.items():
+            if phrase in often:
+                start, held = runs.get(phrase, (at, 0))
+                runs[phrase] = start, held + n
     return out
 
 
@@ -155,4 +155,4 @@ def spam_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows stay repeated.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    return base.select("doc_id", _page("t").alias("p")).select("doc_id", "p.*", (F.col("p.top_shapes") > SHARE).alias("is_spam"))
+    return base.select("doc_id", _page("t").alias("p")).select("doc_id", "p.*", (F.col("p.non_sentence") > SHARE).alias("is_spam"))

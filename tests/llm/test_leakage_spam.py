@@ -84,3 +84,13 @@ def test_pages(spark):
 
 def test_share_is_over_whole_text():
     assert page_shapes(SENTENCES * 300 + SPAM[0])[1] < 0.05
+
+
+def test_many_shapes_and_many_phrases(spark):
+    tags = ["toner", "Toner negro", "RESMA CARTA OFICIO", "Silla Visita Cromada Azul", "mesa, pino, oferta", "Guante / Nitrilo", "CLORO | GEL | 5L | OFERTA", "grúa > horquilla > usada", "#aseo", "#Parka #Polar", "www.x.test/a", "Ver www.y.test/b Oferta", "LÁPIZ - GOMA - REGLA - TIJERA - PAPEL"]
+    phrases = ["resmas baratas", "tóner original", "grúas horquilla", "sillas ergonómicas", "guantes nitrilo", "cloro gel"]
+    stuffed = " ".join(f"La entidad ofrece {p} en la zona y también {p} con la mejor garantía. " * 4 for p in phrases)
+    varied = "\n".join(tags) + "\n" + SENTENCES
+    df = spark.createDataFrame([(1, varied), (2, stuffed), (3, SENTENCES * 3 + "\n" + "\n".join(tags[:4]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in spam_pages(df).collect()}
+    assert {k for k, r in got.items() if r["is_spam"]} == {1, 2}
