@@ -33,7 +33,8 @@ AFTER = set("”’…»º°ª—–™®©²³¹‰†‡›,;:.!?)•·")
 BEFORE = set("“‘’«¡¿—–•·¤£¥§$€¶#†‡‹(°º~")
 # Capitals that may stand within a capitalised word of the languages met.
 CAPITALS = set("ÁÉÍÓÚÜÑÇÃÂÊÔÀÄÖ")
-SUSPECT = r"[^\x00-\x7FáéíóúñÁÉÍÓÚÑüÜ]|\?"
+# Signs that may rightly stand between two capitals, and are a capital letter in a wrong character set.
+BETWEEN = set("–—…ºª°")
 
 
 def _decode(raw: bytes, encoding: str) -> str:
@@ -94,6 +95,17 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+@lru_cache(maxsize=1)
+def suspect() -> str:
+    """Pattern that every text with a match of the automaton, a lost or a replaced character meets: no case is lost by it."""
+
+    def one(chars: set[str]) -> str:
+        return "".join(f"\\x{{{ord(c):X}}}" for c in sorted(chars))
+
+    longer = list(sequences())
+    return f"[{one(set(singles()) | set('ÃÂ?�'))}]|[{one({k[0] for k in longer})}][{one({k[1] for k in longer})}]"
+
+
 def _accept(text: str, at: int, w: str, letters: set[str]) -> bool:
     """Whether the single character at ``at`` is out of place there and fits as one of ``letters``."""
     before, after = text[at - 1 : at], text[at + 1 : at + 2]
@@ -110,10 +122,7 @@ def _accept(text: str, at: int, w: str, letters: set[str]) -> bool:
                 return not (before in "lL" and after in "lL")
             if w in "’‘'":
                 return False
-            if w in "–—…ºª°":
-                return before.isupper() and after.isupper()
-
-            return True
+            return w not in BETWEEN
         if w == "…" and left and before.isupper() and text.upper() == text:
             return "É" in letters
         if w == "—":
@@ -145,9 +154,9 @@ def _accept(text: str, at: int, w: str, letters: set[str]) -> bool:
 _REPLACED = re.compile(r"\?+")
 
 
-def replaced_marks(text: str) -> list[int]:
-    """Positions of question marks that stand for a lost character rather than for a question."""
-    out = []
+def marks(text: str) -> tuple[list[int], list[int]]:
+    """Positions of question marks that stand for lost characters: those sure to, and those that end a word and may be questions."""
+    sure, doubtful = [], []
     for m in _REPLACED.finditer(text):
         i = m.start()
         before, after, follow = text[i - 1 : i] if i else "", text[m.end() : m.end() + 1], text[m.end() + 1 : m.end() + 2]
@@ -157,23 +166,55 @@ def replaced_marks(text: str) -> list[int]:
         if "=" in tail or "/" in text[:i].rsplit(" ", 1)[-1]:  # a web address
             continue
         if before.isalpha():
-            if after.isalpha():
-                out += range(i, m.end())
-            else:
-                asked = max(text.rfind("¿", 0, i), -1)
-                if asked < 0 and not (out and any(text[k + 1 : k + 2].isalpha() and not text[k - 1 : k].isalpha() for k in out)):
-                    out += range(i, m.end())
-        elif after.isalpha() and (not before.strip() or before in "(\"'-/.,;:") :
-            out += range(i, m.end())
+            if after.isalpha() or before in "Nn" and not text[i - 2 : i - 1].isalpha() and text[m.end() :].lstrip()[:1].isdigit():
+                sure += range(i, m.end())
+            elif text.rfind("¿", 0, i) < 0:
+                doubtful += range(i, m.end())
+        elif after.isalpha() and (not before.strip() or before in "(\"'-/.,;:"):
+            sure += range(i, m.end())
         elif not before.strip() and not after.strip() and follow and i:
-            out += range(i, m.end())  # a sign by itself
-    return out
+            sure += range(i, m.end())  # a sign by itself
+    return sure, doubtful
+
+
+def replaced_marks(text: str) -> list[int]:
+    return sorted(sum(marks(text), []))
+
+
+def _between(text: str) -> list[int]:
+    """Positions of signs between capitals that may be a capital letter in a wrong character set, or rightly there."""
+    return [i for i in range(1, len(text) - 1) if text[i] in BETWEEN and text[i - 1].isupper() and text[i + 1].isupper() and any(c.isupper() for c in singles().get(text[i], {}).values())]
+
+
+def _word_at(text: str, at: int) -> str:
+    """The word around the character at ``at``, in lower case, with ``?`` for that character and all beyond ASCII."""
+    lo, hi = at, at + 1
+    while lo and (text[lo - 1].isalpha() or text[lo - 1] in "?�"):
+        lo -= 1
+    while hi < len(text) and (text[hi].isalpha() or text[hi] in "?�"):
+        hi += 1
+    return "".join(c if c.isascii() else "?" for c in text[lo:hi].lower())
+
+
+def examine(text: str | None) -> tuple[int, int, str | None, list[str]]:
+    """``repair`` and, where nothing but doubtful signs is found, the words that hold them.
+
+    Then spans and lost characters count those signs, and each stands as ``?`` in the text; only if the
+    corpus has a word that fits are they damage.
+    """
+    spans, lost, out = repair(text)
+    if spans or not text:
+        return spans, lost, out, []
+    at = marks(text)[1] + _between(text)
+    held = "".join("?" if i in at else c for i, c in enumerate(text)) if at else text
+    return len(at), len(at), held, list(dict.fromkeys(_word_at(text, i) for i in at))
 
 
 def repair(text: str | None) -> tuple[int, int, str | None]:
     """(garbled spans, spans that can't be restored from the text alone, text with the others restored).
 
     Lost characters (U+FFFD, replaced by question marks) are counted as unrestorable and left in place.
+    Question marks that end a word, and signs between capitals, count only beside other damage.
     """
     if not text:
         return 0, 0, text
@@ -198,9 +239,16 @@ def repair(text: str | None) -> tuple[int, int, str | None]:
             if text[s] in "ÃÂ" and text[s - 1].islower() and not taken[s]:
                 taken[s] = 1
                 spans.append((s, s + 1, ""))
-    lost = text.count("�") + len(replaced_marks(text))
+    sure, doubtful = marks(text) if "?" in text else ([], [])
+    lost = text.count("�") + len(sure)
+    if spans or lost:
+        lost += len(doubtful)
     if not spans:
         return lost, lost, text
+    for i in _between(text):
+        if not taken[i]:
+            taken[i] = 1
+            spans.append((i, i + 1, text[i]))
     votes: Counter = Counter()
     for s, e, key in spans:
         votes.update(list(sequences().get(key) or singles().get(key) or {}))
@@ -215,6 +263,8 @@ def repair(text: str | None) -> tuple[int, int, str | None]:
         options = sequences().get(key) or singles().get(key)
         out.append(text[at:s])
         if options:
+            if key in BETWEEN and text[s - 1 : s].isupper() and text[e : e + 1].isupper():  # a capital among capitals
+                options = {k: v for k, v in options.items() if v.isupper()} or options
             pair = max(options, key=lambda k: votes[k])
             out.append(options[pair])
         else:
@@ -225,28 +275,49 @@ def repair(text: str | None) -> tuple[int, int, str | None]:
     return len(spans) + lost, failed + lost, "".join(out)
 
 
-REPAIRED = T.StructType([T.StructField("n_spans", T.IntegerType()), T.StructField("n_lost", T.IntegerType()), T.StructField("restored", T.StringType())])
+REPAIRED = T.StructType([T.StructField("n_spans", T.IntegerType()), T.StructField("n_lost", T.IntegerType()), T.StructField("restored", T.StringType()), T.StructField("doubtful", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(REPAIRED)
-def _repair(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([repair(t) for t in texts], columns=["n_spans", "n_lost", "restored"])
+def _examine(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([examine(t) for t in texts], columns=["n_spans", "n_lost", "restored", "doubtful"])
 
 
 def garbled(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row per row and field of ``df`` that holds garbled text: record_key, field_name, damaged, n_spans, n_lost, restored.
 
-    Only values with a suspicious character leave the JVM. Null and empty values are no cases; repeated
-    rows give repeated cases; the key may be null.
+    Only values that hold a first character of a garbled sequence (``suspect``) leave the JVM; that loses
+    none. Signs that may be right (a question mark at a word's end, a dash between capitals) are damage if
+    the value has other damage, or if the table has a word with a letter in that place that is at least as
+    frequent as the word without it. Null and empty values are no cases; repeated rows give repeated cases;
+    the key may be null.
     """
     cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").alias("damaged")) for f in fields])
-    base = df.select(F.col(key).alias("record_key"), F.explode(cells).alias("c")).select("record_key", "c.*").where(F.col("damaged").rlike(SUSPECT))
-    return base.withColumn("r", _repair("damaged")).where("r.n_spans > 0").select("record_key", "field_name", "damaged", "r.*")
+    base = df.select(F.col(key).alias("record_key"), F.explode(cells).alias("c")).select("record_key", "c.*").where(F.col("damaged").rlike(suspect()))
+    found = materialize(base.withColumn("r", _examine("damaged")).where("r.n_spans > 0").select("record_key", "field_name", "damaged", "r.*"))
+    doubtful = F.size("doubtful") > 0
+    sure, open_ = found.where(~doubtful).drop("doubtful"), found.where(doubtful)
+    if open_.isEmpty():
+        return sure
+    asked = materialize(open_.select(F.explode("doubtful").alias("mask")).distinct())
+    words = df.select(F.explode(F.array(*[F.col(f"`{f}`") for f in fields])).alias("text")).where("text IS NOT NULL")
+    words = words.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    ends = [F.struct(_masked(F.col("word")).alias("mask"), F.when(F.col("word").rlike(r"[^\x00-\x7F]"), F.col("n")).otherwise(F.lit(0)).alias("fit"), F.lit(0).cast("long").alias("bare"))]
+    ends.append(F.struct(F.concat(_masked(F.col("word")), F.lit("?")).alias("mask"), F.lit(0).cast("long").alias("fit"), F.col("n").alias("bare")))
+    held = words.select(F.explode(F.array(*ends)).alias("e")).select("e.*").join(broadcast_if_small(asked), "mask", "left_semi").groupBy("mask").agg(F.sum("fit").alias("fit"), F.sum("bare").alias("bare"))
+    fitting = broadcast_if_small(materialize(held.where("fit > 0 AND fit >= bare").select("mask")))
+    judged = open_.select("damaged", F.explode("doubtful").alias("mask")).distinct().join(fitting, "mask", "left_semi").select("damaged").distinct()
+    rows = open_.join(judged, "damaged", "left_semi").select(*sure.columns)
+    return sure.unionByName(rows)
 
 
 _TOKEN = r"[\p{L}\p{M}?\x{FFFD}]+"
 
 
+def _masked(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"[^\x00-\x7F]", "?"))
+
+
 def restore_lost(cases: DataFrame, clean: DataFrame, text: str = "text") -> DataFrame:
     """``cases`` with lost characters restored where the corpus knows just one word that fits.
 
@@ -256,14 +327,11 @@ def restore_lost(cases: DataFrame, clean: DataFrame, text: str = "text") -> Data
     meet. Adds ``complete``: nothing is left lost.
     """
 
-    def masked(c: Column) -> Column:
-        return F.lower(F.regexp_replace(c, r"[^\x00-\x7F]", "?"))
-
     holes = F.filter(F.regexp_extract_all("restored", F.lit(f"({_TOKEN})"), 1), lambda w: w.rlike(r"[?\x{FFFD}]") & w.rlike(r"\p{L}"))
     numbered = materialize(cases.withColumn("case_id", F.expr("uuid()")).withColumn("holes", F.when(F.col("n_lost") > 0, F.array_distinct(holes)).otherwise(F.array())))
-    wanted = numbered.select(F.explode("holes").alias("hole")).distinct().withColumn("mask", masked(F.col("hole")))
+    wanted = numbered.select(F.explode("holes").alias("hole")).distinct().withColumn("mask", _masked(F.col("hole")))
     words = F.filter(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{M}]+)"), 1), lambda w: w.rlike(r"[^\x00-\x7F]"))
-    known = clean.select(F.explode(words).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).withColumn("mask", masked(F.col("word")))
+    known = clean.select(F.explode(words).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).withColumn("mask", _masked(F.col("word")))
     ranked = (
         known.join(broadcast_if_small(materialize(wanted.select("mask").distinct())), "mask", "left_semi")
         .groupBy("mask")

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from caudal.llm.mojibake import _decode, garbled, repair, replaced_marks, restore_lost
+from caudal.llm.mojibake import _decode, examine, garbled, repair, replaced_marks, restore_lost, suspect
 
 WORDS = ["Contratación", "señalética", "público", "año", "Ñuñoa", "garantía", "técnica", "ÁREA", "pingüino", "según", "LICITACIÓN", "Nº 4", "«uso»", "50 €", "120 m²"]
 
@@ -60,3 +60,24 @@ def test_garbled_and_restored(spark):
     fixed = {(r["record_key"]): (r["restored"], r["complete"]) for r in restore_lost(cases, clean).collect()}
     assert fixed["k1"] == ("Contratación", True) and fixed[None] == ("año", True) and fixed["k4"][0] == long.replace("Ã­", "í")
     assert restore_lost(garbled(df.limit(0), "k", ["a"]), clean.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Cual es el plazo?", "What time is it?", "SUR—NORTE", "A—B", "HOLA…ADIOS"])
+def test_signs_that_may_be_right_are_only_doubtful(text):
+    assert repair(text) == (0, 0, text)
+    assert examine(text)[3]
+
+
+def test_every_repaired_text_meets_the_prefilter():
+    import re
+
+    from caudal.llm.mojibake import sequences, singles
+
+    pattern = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), suspect()))
+    assert all(pattern.search(k) for k in [*sequences(), *singles(), "Servicio tÚcnico", "a�o", "a?o"])
+
+
+def test_doubtful_signs_are_judged_by_the_corpus(spark):
+    rows = [("1", "Servicio tÚcnico"), ("2", "Cual es el plazo?"), ("3", "polera piqu? azul"), ("4", "ESPA—A"), ("5", "SUR—NORTE"), ("6", "What time is it?"), ("7", "el plazo de polera piqué en ESPAÑA"), ("8", None), ("9", "")]
+    got = {r["record_key"]: r["restored"] for r in garbled(spark.createDataFrame(rows, "k string, a string"), "k", ["a"]).collect()}
+    assert got == {"1": "Servicio técnico", "3": "polera piqu? azul", "4": "ESPA?A"}
