@@ -90,15 +90,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shapes(spark: SparkSession, d: str) -> DataFrame:
-    """How much of each document is in non-sentence lines and in the few commonest shapes of them."""
+    """How much of each document is in non-sentence shapes, and in the commonest of them."""
     return spam_shapes.spam_pages(read(spark, d, "documents"))
 
 
+def p9_corpus_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """The shapes that the lines of all documents take, and whether they are those of sentences."""
+    return spam_shapes.corpus_shapes(read(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shapes(spark, d).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_links, p6_found, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_links, p6_found, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shapes, p9_corpus_shapes)}
 _GRAMS = "SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {id} AS id, regexp_extract_all(strip_accents(lower({text})), '[a-z0-9]+') AS w FROM {table}) a) b"
 ORACLE = {
     "p7_found": f"""WITH d AS ({_GRAMS.format(id='doc_id', text='text', table='documents')}), e AS ({_GRAMS.format(id='item_id', text='passage', table='eval_passages')})

@@ -1,5 +1,6 @@
 """Problems 7 and 9 against brute force and labelled small pages."""
 
+import time
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 from caudal.llm import leakage
 from caudal.llm.leakage import Index, find_leaks, fingerprints, shingles, words_of
-from caudal.llm.spam_shapes import page_shapes, spam_pages
+from caudal.llm.spam_shapes import corpus_shapes, page_shapes, sentence_shape, shape, spam_pages
 
 WORDS = "el proveedor entregará los bienes según bases técnicas dentro del plazo indicado en anexo tres sin costo adicional para la unidad".split()
 
@@ -74,6 +75,39 @@ PLAIN = [
 ]
 
 
+ORDINARY = {
+    "poem": "Über allen Gipfeln\nIst Ruh,\nIn allen Wipfeln\nSpürest du\nKaum einen Hauch;\nDie Vögelein schweigen im Walde.",
+    "lower-case poem": "caminante no hay camino\nse hace camino al andar\nal andar se hace el camino\ny al volver la vista atrás\nse ve la senda que nunca\nse ha de volver a pisar",
+    "contents": "Contenido\n1. Antecedentes generales ........ 3\n2. Requisitos de participación ........ 5\n3. Presentación de ofertas ........ 8\n4. Evaluación ........ 12\n5. Adjudicación y contrato ........ 15\nAnexos ........ 20",
+    "glossary": "Licitación: procedimiento administrativo\nAdjudicación: acto que acepta una oferta\nGarantía: caución del contrato\nBases: documentos aprobados\nOferente: quien presenta una oferta",
+    "minutes": "Acta de la sesión\nAsistentes\nAntonio Pérez, alcalde\nMarta Soto, secretaria\nTabla\nLectura del acta anterior\nPresupuesto del año\nVarios\nCierre de la sesión",
+}
+
+
+@pytest.mark.parametrize("kind", ORDINARY)
+def test_short_lines_of_ordinary_texts_are_no_tags(kind):
+    assert page_shapes(ORDINARY[kind])[0] <= 0.5
+
+
+def test_shapes():
+    assert shape("Inicio > Aseo > Cloro") == "w3Cs3l0r0" and not sentence_shape(shape("Inicio > Aseo > Cloro"))
+    assert sentence_shape(shape("La entidad deberá entregar el informe, los planos y el acta.")) and sentence_shape(shape("1. Guantes negros: 40 unidades"))
+    assert not sentence_shape(shape("<a href='x.y'>resmas baratas</a>")) and not sentence_shape(shape("tóner; resmas; papel; cloro; guantes"))
+
+
+def test_long_lines_take_linear_time():
+    began = time.time()
+    for t in ("a-" * 200_000, "<a " * 100_000, "1" * 300_000, "1. " + "2,3 " * 100_000, "x.y" * 100_000):
+        page_shapes(t)
+    assert time.time() - began < 20
+
+
+def test_corpus_shapes(spark):
+    got = {r["shape"]: r for r in corpus_shapes(spark.createDataFrame([(1, t) for t in SPAM + PLAIN], "doc_id long, text string")).collect()}
+    assert all(r["sentence"] == sentence_shape(s) for s, r in got.items()) and any(not r["sentence"] for r in got.values())
+    assert corpus_shapes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_pages(spark):
     rows = [(i, t) for i, t in enumerate(SPAM + PLAIN)] + [(0, SPAM[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS p", "1 AS is_spam")
