@@ -5,7 +5,8 @@ their windows of that size (a window as long as a whole item could not find a pa
 window of items and documents gets a 64-bit SimHash of its weighted two-word shingles. The fingerprints
 of the items are indexed by ``radius + 1`` blocks of bits: two fingerprints within ``radius`` bits agree
 in at least one block, so the block lookups miss none. Candidates are verified by the exact weighted
-Jaccard similarity of their shingles.
+Jaccard similarity of their shingles. A window of which shingles of the items make up less than that
+similarity can't be verified whatever its fingerprint, so none is taken of it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 12
-RADIUS = 3
+RADIUS = 7
 SIMILARITY = 0.8
 #: Words of evaluation items that one index holds; more items are searched block by block.
 BLOCK_WORDS = 2_000_000
@@ -85,6 +86,18 @@ def fingerprints(s: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def fingerprints_at(s: np.ndarray, weights: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
+    """SimHash of the runs of ``size`` shingles of ``s`` that begin at ``starts``."""
+    out = []
+    for at in range(0, len(starts), CHUNK // 12):
+        i = starts[at : at + CHUNK // 12, None] + np.arange(size)
+        bits = np.unpackbits(np.ascontiguousarray(s[i]).view(np.uint8).reshape(len(i), size, 8), axis=2).astype(np.int32)
+        w = weights[i].astype(np.int32)
+        total = np.einsum("ms,msb->mb", w, 2 * bits - 1)
+        out.append(np.packbits(total > 0, axis=1).view(np.uint64).ravel())
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 class Index:
     """Windows of the evaluation items by their fingerprints' blocks."""
 
@@ -129,6 +142,10 @@ class Index:
         at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
         return np.where(self.keys[at] == s, self.values[at], self.rare)
 
+    def known(self, s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        return self.keys[at] == s
+
     def near(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (position in ``p``, window of an item) whose fingerprints differ in at most ``radius`` bits."""
         left, right = [], []
@@ -164,9 +181,15 @@ class Index:
         h = np.concatenate([self.hash(w) for w in texts if w])
         owner = np.repeat(np.arange(len(texts)), sizes)
         s = shingles(h)
-        p = fingerprints(s, self.weigh(s), self.size)
-        starts = np.flatnonzero(owner[: len(p)] == owner[self.size : self.size + len(p)])  # windows within one text
-        left, right = self.near(p[starts])
+        w, known = self.weigh(s), self.known(s)
+        sums = np.zeros((2, len(s) + 1), np.int64)
+        np.cumsum(w, out=sums[0, 1:])
+        np.cumsum(np.where(known, w, 0), out=sums[1, 1:])
+        whole, held = sums[:, self.size :] - sums[:, : -self.size]
+        n = len(s) - self.size + 1
+        within = owner[:n] == owner[self.size : self.size + n]  # windows of one text
+        starts = np.flatnonzero(within & (held >= similarity * whole))
+        left, right = self.near(fingerprints_at(s, w, self.size, starts))
         left = starts[left]
         same = (h[left[:, None] + np.arange(self.window)] == self.words[right]).all(axis=1) if len(left) else np.zeros(0, bool)
         positions: dict[tuple[int, int], set[int]] = defaultdict(set)
@@ -221,10 +244,11 @@ def find_leaks(
     base = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("t IS NOT NULL AND d IS NOT NULL")
     found = None
     for k in range(n_blocks):
-        index = spark.sparkContext.broadcast([(r["i"], r["p"]) for r in held.where(F.col("block") == k).toLocalIterator()])
+        # Built once; its size follows from ``block_words``, whatever the number of items.
+        index = spark.sparkContext.broadcast(Index([(r["i"], r["p"]) for r in held.where(F.col("block") == k).toLocalIterator()], window, radius))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            ready = Index(index.value, window, radius)
+            ready = index.value
             for ids, texts in _portions(batches, 2 * CHUNK):
                 rows = [(ids[k], *rest) for k, *rest in ready.leaks(texts, similarity)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_windows", "similarity", "verbatim"])
