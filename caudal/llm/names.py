@@ -28,14 +28,16 @@ GIVEN = frozenset(
 )
 # Words for a firm's legal form and branch, and small words; none tells firms apart.
 FORMS = frozenset(
-    "limitada ltda lda spa sa eirl srl compania cia hermanos hnos hijos sociedadanonima anonima responsabilidad sucursal suc matriz casa calle vigente no n e y de del la las los el en con para por".split()
+    "limitada ltda lda spa sa sas eirl srl compania cia hermanos hnos hijos sociedadanonima anonima responsabilidad sucursal suc matriz casa calle vigente no n e y de del la las los el en con para por".split()
 )
+# Forms that end a name and are looked for with one mistyped letter there.
+ENDINGS = ("eirl", "ltda", "spa")
 # Lines of business and the short forms they are written in.
 LINES = {
     "alimentos": "alim alimen", "imprenta": "impr impta", "consultores": "cons consult consul", "ferreteria": "ferret ferr ferretera", "constructora": "const constr construct", "construccion": "construc", "ingenieria": "ing ingen ingenieros ingeniera",
-    "inversiones": "inv invers", "libreria": "libr lib libreriay librera", "integrales": "integ integr int", "importadora": "imp import", "metalurgica": "metal metalurg met", "transportes": "ttes transp transpor transporte trans tptes",
-    "comercializadora": "com comerc cializadora izadora comercializ", "maquinarias": "maq maquin maquinaria", "distribuidora": "dist distrib distr distri", "comercial": "cial coml com comerc comer", "agricola": "agr agric", "laboratorios": "labs lab laborat",
-    "tecnologias": "tec tecno tecn tecnol tecnologia tecnologa", "mantencion": "mant mantenc manten", "sociedad": "soc socied", "servicios": "serv ss svcs svc servs servic",
+    "inversiones": "inv invers", "libreria": "libr lib librera", "integrales": "integ integr int", "importadora": "imp import", "metalurgica": "metal metalurg met", "transportes": "ttes transp transpor transporte trans tptes",
+    "comercializadora": "com comerc comercializ", "maquinarias": "maq maquin maquinaria", "distribuidora": "dist distrib distr distri", "comercial": "cial coml com comerc comer", "agricola": "agr agric", "laboratorios": "labs lab laborat",
+    "tecnologias": "tec tecno tecn tecnol tecnologia", "mantencion": "mant mantenc manten", "sociedad": "soc socied", "servicios": "serv ss svcs svc servs servic",
 }
 # Kinds of buying units and the short forms they are written in.
 UNITS = {
@@ -136,7 +138,7 @@ def _canonical(word: str, units: bool) -> str | None:
         return short[word]
     if len(word) >= 4:
         for w in table:
-            if len(word) >= 5 and w.startswith(word):
+            if len(word) >= 5 and w.startswith(word) or len(word) >= 7 and w.endswith(word):
                 return w
             if len(w) >= 5 and abs(len(w) - len(word)) <= 2 and (w[0] == word[0] or w[-1] == word[-1] or w[1] == word[1]):
                 most = 1 if len(w) < 8 else 2
@@ -167,7 +169,7 @@ def parse(text: str | None, units: bool = False) -> Name | None:
     words = words_of(re.sub(r"(?<=[a-zñáéíóúü])(?=[A-ZÑÁÉÍÓÚÜ][a-zñáéíóúü])", " ", text))
     core, given, initials, kind, suffix = [], [], [], set(), ""
     for w in words:
-        if w in FORMS or (len(w) >= 6 and any(edits(w, f, 2) <= 2 for f in ("limitada", "hermanos", "compania"))) or w in ("eirll", "eirl", "erl", "spaa", "sppa", "ltua", "sas"):
+        if w in FORMS or (len(w) >= 6 and any(edits(w, f, 2) <= 2 for f in ("limitada", "hermanos", "compania"))) or w is words[-1] and len(w) > 2 and any(edits(w, f, 1) <= 1 for f in ENDINGS):
             continue
         k = _canonical(w, units)
         if units and (w in SUFFIXES or len(w) >= 5 and any(edits(w, s, 1) <= 1 for s in SUFFIXES)):

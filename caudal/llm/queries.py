@@ -63,9 +63,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_links(spark, d).select("notice_line_id", "purchase_order_line_id").distinct()
 
 
+#: Table: what is compared of its records.
+NAMED = {"normalized_suppliers": variants.SUPPLIERS, "normalized_buyers": variants.BUYERS}
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    sets = {"normalized_suppliers": variants.SUPPLIERS, "normalized_buyers": variants.BUYERS}
-    parts = [variants.link_variants(read(spark, d, t), a).select(F.lit(t).alias("record_table"), "key_a", "key_b") for t, a in sets.items()]
+    parts = [variants.link_variants(read(spark, d, t), a).select(F.lit(t).alias("record_table"), "key_a", "key_b") for t, a in NAMED.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """Entity of every key of suppliers and buying units, without expanding pairs."""
+    parts = [variants.link_members(read(spark, d, t), a).select(F.lit(t).alias("record_table"), "key", "entity") for t, a in NAMED.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -103,7 +112,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shapes(spark, d).where("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_links, p6_found, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shapes, p9_corpus_shapes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_links, p6_found, p6_members, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shapes, p9_corpus_shapes)}
 _GRAMS = "SELECT DISTINCT id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM (SELECT {id} AS id, regexp_extract_all(strip_accents(lower({text})), '[a-z0-9]+') AS w FROM {table}) a) b"
 ORACLE = {
     "p7_found": f"""WITH d AS ({_GRAMS.format(id='doc_id', text='text', table='documents')}), e AS ({_GRAMS.format(id='item_id', text='passage', table='eval_passages')})

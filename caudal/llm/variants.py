@@ -10,7 +10,7 @@ from itertools import combinations
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,10 +21,8 @@ from caudal.scale import broadcast_if_small, materialize
 
 #: Least similarity of two names of one entity.
 ACCEPT = 0.86
-#: Codes that more than this part of the records hold form no block with one end of another word alone.
-COMMON = 0.01
-#: A block of more classes than this is split by place.
-HOT = 64
+#: A block that would give more pairs than this is split by the attributes of its records, one after the other.
+HOT_PAIRS = 2_000
 
 
 @dataclass(frozen=True)
@@ -41,15 +39,16 @@ class Attributes:
     units: bool = False
 
 
-FEATURES = T.StructType([T.StructField("f", T.StringType()), T.StructField("known", T.ArrayType(T.StringType())), T.StructField("codes", T.ArrayType(T.ArrayType(T.StringType())))])
+FEATURES = T.StructType([T.StructField("f", T.StringType()), T.StructField("known", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("codes", T.ArrayType(T.ArrayType(T.StringType())))])
 
 
 def _plain(text: str | None) -> str:
     return " ".join(words_of(text or ""))
 
 
-def features(names: list[str | None], same: list[str | None], identity: str | None, owner: list[str | None], units: bool) -> tuple[str, list[str], list[list[str]]] | None:
-    """What is compared of a record, as JSON; its place, other attributes and owner's code; the phonetic codes of its names."""
+def features(names: list[str | None], same: list[str | None], identity: str | None, owner: list[str | None], units: bool) -> tuple[str, list[list[str]], list[list[str]]] | None:
+    """What is compared of a record, as JSON; its place, other attributes, owner's code and given names, each none, one
+    or more values; the phonetic codes of its names."""
     parsed = [n for n in dict.fromkeys(parse(t, units) for t in names) if n]
     if not parsed:
         return None
@@ -57,7 +56,8 @@ def features(names: list[str | None], same: list[str | None], identity: str | No
     ident = re.sub(r"[^0-9K]", "", (identity or "").upper())
     own = [re.sub(r"\W", "", (owner[0] or "").lower()), _plain(owner[1])] if owner else ["", ""]
     f = json.dumps([[[*map(list, (n.core, n.given, n.initials, sorted(n.kind))), n.suffix] for n in parsed], places, ident, own], ensure_ascii=False)
-    return f, [*places, own[0]], [codes(n) + [i for i in n.initials] for n in parsed]
+    known = [[x] if x else [] for x in [*places, own[0]]]
+    return f, [*known, sorted({g for n in parsed for g in n.given})], [codes(n) + [i for i in n.initials] for n in parsed]
 
 
 @lru_cache(maxsize=20_000)
@@ -97,17 +97,56 @@ def match(a: str, b: str, units: bool) -> float:
     return best
 
 
-def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
-    """Pairs of keys of one entity: key_a < key_b as strings, all pairs of a cluster.
+def split_hot(keyed: DataFrame, levels: int, most: int | None = None) -> DataFrame:
+    """Blocks of ``keyed`` (block, class, known) of which none gives more than ``most`` pairs, as far as attributes tell apart.
+
+    A hot block is split by the first attribute, what is still hot by the next, and so on. Records of one value
+    meet in the block of that value. Records of unknown value meet each other and all records of known value in one
+    more block, where bit ``level`` of ``known_at`` marks the latter: two records of a block meet if no bit is
+    set in both. Values that differ contradict, so a split parts no two records that may be one entity.
+
+    Result: block, class, known, known_at.
+    """
+    most = HOT_PAIRS if most is None else most
+    live = keyed.select("block", "class", "known", F.lit(0).alias("known_at"))
+    done = None
+    for level in range(levels + 1):
+        live = materialize(live)
+        n = [F.count_if(F.col("known_at") == m) for m in range(1 << level)]
+        pairs = n[0] * (n[0] - 1) / 2
+        for i in range(1 << level):
+            for k in range(i + 1, 1 << level):
+                pairs = pairs + n[i] * n[k] if not i & k else pairs
+        sizes = materialize(live.groupBy("block").agg(pairs.alias("pairs")).where("pairs > 0"))
+        joined = live.join(broadcast_if_small(sizes), "block")
+        last = level == levels or sizes.where(F.col("pairs") > most).isEmpty()
+        cool = joined if last else joined.where(F.col("pairs") <= most)
+        done = cool if done is None else done.unionByName(cool)
+        if last:
+            break
+        values = F.get("known", F.lit(level))
+        known = F.size(values) > 0
+        bit = F.col("known_at").bitwiseOR(F.when(known, 1 << level).otherwise(0))
+
+        def part(v: Column) -> Column:
+            return F.xxhash64("block", F.lit(level), v)
+
+        own = F.transform(values, lambda v: F.struct(part(v).alias("block"), F.col("known_at").alias("known_at")))
+        rest = F.array(F.struct(part(F.lit("")).alias("block"), bit.alias("known_at")))
+        live = joined.where(F.col("pairs") > most).select(F.explode(F.concat(own, rest)).alias("e"), "class", "known").select("e.block", "class", "known", "e.known_at")
+    return done.drop("pairs")
+
+
+def link_members(df: DataFrame, a: Attributes) -> DataFrame:
+    """Entity of every key: key, entity (a number; keys of one entity bear the same).
 
     Records whose compared features agree count as one class, so copies are compared once. Classes are
     blocked by phonetic codes of their sorted telling words: two codes together, or one code with the first
-    or last sound of another word (a common code: with both), or the whole name, or the identity number. No
-    block asks for a place or other attribute, so a record in which they are unknown meets all of its blocks.
-    A block of over ``HOT`` classes is split by place, where classes of unknown place go with every place of
-    the block, and pairs with differing known attributes are dropped before their names are compared; as
-    these contradict, no link is lost by that. Accepted pairs are clustered by connected components, over
-    classes that share a key as well.
+    or last sound of another word, or the whole name, or the identity number. No block asks for a place or
+    other attribute, so a record in which they are unknown meets all of its blocks, and no code is too common
+    to form one. Hot blocks are split by contradicting attributes (``split_hot``). Pairs with differing known
+    attributes are dropped before their names are compared. Accepted pairs are clustered by connected
+    components, over classes that share a key as well.
 
     Null keys and records without any name are left out; repeated rows count once; an empty table gives
     no rows.
@@ -117,7 +156,7 @@ def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
         return [[None if v is None or v != v else v for v in row] for row in frame[list(cols)].itertuples(index=False, name=None)]
 
     wanted = list(dict.fromkeys([*a.names, *a.same, *([a.identity] if a.identity else []), *(a.owner or ())]))
-    attrs = a
+    attrs, levels = a, len(a.same) + 2
 
     @F.pandas_udf(FEATURES)
     def extract(frame: pd.DataFrame) -> pd.DataFrame:
@@ -132,11 +171,6 @@ def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
     records = materialize(records.select("key", extract("r").alias("x")).where("x.f IS NOT NULL").select("key", "x.*").withColumn("class", F.xxhash64("f")))
     classes = materialize(records.dropDuplicates(["class"]).drop("key"))
 
-    n = classes.count()
-    held = classes.select("class", F.explode(F.array_distinct(F.flatten("codes"))).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
-    # At most (codes a record / COMMON) codes can be so common, whatever the number of records.
-    usual = {r["code"] for r in held.where(F.col("n") > max(20, COMMON * n)).select("code").collect()}
-
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def blocks(codes_: pd.Series, f: pd.Series) -> pd.Series:
         out = []
@@ -145,12 +179,11 @@ def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
             for one in cs:
                 one = sorted(set(one))
                 long = [x for x in one if len(x) > 1]
-                keys.update(f"2|{x}|{y}" for x, y in combinations(long, 2) if x not in usual or y not in usual)
+                keys.update(f"2|{x}|{y}" for x, y in combinations(long, 2))
                 for x in long:
-                    if x in usual:  # with both ends of another word
-                        keys.update({f"b|{x}|{y[0]}{y[-1]}" for y in long if y != x} or {f"b|{x}|"})
-                    else:
-                        keys.update(f"e|{x}|{e}" for e in {e for y in one if y != x for e in (f"<{y[0]}", f">{y[-1]}")} or {""})
+                    keys.update(f"e|{x}|{e}" for y in one if y != x for e in (f"<{y[0]}", f">{y[-1]}"))
+                if len(long) == 1:
+                    keys.add(f"e|{long[0]}|")
             names, _, ident, _ = _load(feats)
             if ident:
                 keys.add(f"i|{ident}")
@@ -161,21 +194,16 @@ def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
             out.append(sorted(keys))
         return pd.Series(out)
 
-    keyed = materialize(classes.select("class", "known", F.explode(blocks("codes", "f")).alias("block")).withColumn("block", F.xxhash64("block")))
-    sizes = keyed.groupBy("block").agg(F.count("*").alias("size"))
-    live = materialize(keyed.join(broadcast_if_small(materialize(sizes.where("size > 1"))), "block"))
-    place = F.get("known", F.lit(0))
-    cool, placed, unplaced, hot = (live.where(w).select("block", "class", "known", place.alias("place")) for w in (F.col("size") <= HOT, (F.col("size") > HOT) & (place != ""), (F.col("size") > HOT) & (place == ""), F.col("size") > HOT))
-
-    def meet(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
-        """Pairs of classes of one block of which no known attribute differs."""
-        l, r = x.alias("l"), y.alias("r")
-        ordered = F.col("l.class") < F.col("r.class") if x is y else (F.col("r.place") != "") | (F.col("l.class") < F.col("r.class"))
-        agree = [(F.get("l.known", F.lit(i)) == F.get("r.known", F.lit(i))) | (F.get("l.known", F.lit(i)) == "") | (F.get("r.known", F.lit(i)) == "") for i in range(len(attrs.same) + 1)]
-        both = l.join(r, reduce(and_, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [ordered] + agree))
-        return both.select(F.least("l.class", "r.class").alias("a"), F.greatest("l.class", "r.class").alias("b"))
-
-    pairs = materialize(meet(cool, cool, "block").unionByName(meet(placed, placed, "block", "place")).unionByName(meet(unplaced, hot, "block")).distinct())
+    keyed = classes.select("class", "known", F.explode(blocks("codes", "f")).alias("block")).withColumn("block", F.xxhash64("block"))
+    live = split_hot(keyed, levels)
+    l, r = live.alias("l"), live.alias("r")
+    agree = []
+    for i in range(levels):
+        x, y = F.get("l.known", F.lit(i)), F.get("r.known", F.lit(i))
+        agree.append((F.size(x) == 0) | (F.size(y) == 0) | F.arrays_overlap(x, y))
+    meet = (F.col("l.class") < F.col("r.class")) & (F.col("l.known_at").bitwiseAND(F.col("r.known_at")) == 0)
+    met = l.join(r, reduce(and_, [F.col("l.block") == F.col("r.block"), meet, *agree]))
+    pairs = materialize(met.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct())
     feats = classes.select("class", "f")
     both = pairs.join(feats.select(F.col("class").alias("a"), F.col("f").alias("fa")), "a").join(feats.select(F.col("class").alias("b"), F.col("f").alias("fb")), "b")
 
@@ -188,11 +216,16 @@ def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
     own = shared.groupBy("key").agg(F.min("class").alias("a"))  # classes of one key, and each class by itself
     edges = accepted.unionByName(shared.join(own, "key").select("a", F.col("class").alias("b")))
     labels = components(edges)
-    members = materialize(shared.join(labels.withColumnRenamed("node", "class"), "class").select("key", "component").distinct())
-    members = members.join(members.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi")
+    return materialize(shared.join(labels.withColumnRenamed("node", "class"), "class").select("key", F.col("component").alias("entity")).distinct())
+
+
+def link_variants(df: DataFrame, a: Attributes) -> DataFrame:
+    """Pairs of keys of one entity: key_a < key_b as strings, all pairs of an entity, from ``link_members``."""
+    members = link_members(df, a)
+    members = members.join(members.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity"), "entity", "left_semi")
     return (
         members.alias("l")
-        .join(members.alias("r"), (F.col("l.component") == F.col("r.component")) & (F.col("l.key") < F.col("r.key")))
+        .join(members.alias("r"), (F.col("l.entity") == F.col("r.entity")) & (F.col("l.key") < F.col("r.key")))
         .select(F.col("l.key").alias("key_a"), F.col("r.key").alias("key_b"))
     )
 

@@ -42,7 +42,7 @@ def test_different_names(a, b):
 
 
 def test_links(spark, monkeypatch):
-    monkeypatch.setattr(variants, "HOT", 3)
+    monkeypatch.setattr(variants, "HOT_PAIRS", 3)
     rows = [
         ("a", "Agrícola Cobola Chilve Ltda", None, "Talca", "R", "x", "1.234-5"), ("b", "AGR. COBOLA CHIVE LTDA", None, "TALCA", None, None, None), ("c", "Cobola Chilve, Agricola", None, "Curicó", "R", "x", None),
         ("d", "Agrícola Cobola Chilve Ltda", None, "Talca", "R", "x", "1.234-5"), ("d", "Agrícola Cobola Chilve Ltda", None, "Talca", "R", "x", "1.234-5"), ("e", None, None, "Talca", None, None, None), ("f", "", "", None, None, None, None),
@@ -56,10 +56,10 @@ def test_links(spark, monkeypatch):
     assert variants.link_variants(df.limit(0), variants.SUPPLIERS).count() == 0
 
 
-@pytest.mark.parametrize("hot", [64, 1])
+@pytest.mark.parametrize("hot", [2000, 1])
 def test_links_with_unknown_attributes(spark, monkeypatch, hot):
     """One of two words mistyped, place and activity unknown on one side."""
-    monkeypatch.setattr(variants, "HOT", hot)
+    monkeypatch.setattr(variants, "HOT_PAIRS", hot)
     rows = [
         ("a", "Consultores Llavelsco Guapepu S.A.", None, "Talca", "R", "x", "1.234-5"), ("b", "Consultores Llavelsco Guapeu S.A.", None, None, "R", None, None),
         ("c", "Alimentos Velbún Velfella E.I.R.L.", None, "Curicó", "R", "y", None), ("d", "Alimentos Veblún Velfella E.I.R.L.", None, None, None, "y", None), ("e", "Consultores Llavelsco Guapeu S.A.", None, "Curicó", "S", "z", None),
@@ -69,6 +69,22 @@ def test_links_with_unknown_attributes(spark, monkeypatch, hot):
     assert got == {("a", "b"), ("c", "d")}
 
 
+def test_split_blocks_lose_no_pair(spark):
+    """One hot block: all pairs whose known attributes agree meet, however far it is split."""
+    rng = random.Random(4)
+    rows = [(7, i, [rng.choice([[], ["p"], ["q"]]), rng.choice([[], ["x"], ["y"], ["x", "y"]]), rng.choice([[], ["u"], ["v"], ["w"]])]) for i in range(60)]
+    df = spark.createDataFrame(rows, "block long, class long, known array<array<string>>")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and all(not x or not y or set(x) & set(y) for x, y in zip(a[2], b[2]))}
+    for most in (1, 20, 10_000):
+        got, blocks = set(), {}
+        for r in variants.split_hot(df, 3, most).collect():
+            blocks.setdefault(r["block"], []).append(r)
+        for rs in blocks.values():
+            got |= {(a["class"], b["class"]) for a in rs for b in rs if a["class"] < b["class"] and not a["known_at"] & b["known_at"]}
+        assert want <= got
+    assert variants.split_hot(df.limit(0), 3).count() == 0
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_components(spark, edges):
