@@ -10,14 +10,15 @@ from itertools import combinations
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caudal.llm.blocks import may_meet, split_hot
 from caudal.llm.components import components
 from caudal.llm.leakage import words_of
 from caudal.llm.names import Name, align, codes, edits, parse, phonetic, similarity
-from caudal.scale import broadcast_if_small, materialize
+from caudal.scale import materialize
 
 #: Least similarity of two names of one entity.
 ACCEPT = 0.86
@@ -97,46 +98,6 @@ def match(a: str, b: str, units: bool) -> float:
     return best
 
 
-def split_hot(keyed: DataFrame, levels: int, most: int | None = None) -> DataFrame:
-    """Blocks of ``keyed`` (block, class, known) of which none gives more than ``most`` pairs, as far as attributes tell apart.
-
-    A hot block is split by the first attribute, what is still hot by the next, and so on. Records of one value
-    meet in the block of that value. Records of unknown value meet each other and all records of known value in one
-    more block, where bit ``level`` of ``known_at`` marks the latter: two records of a block meet if no bit is
-    set in both. Values that differ contradict, so a split parts no two records that may be one entity.
-
-    Result: block, class, known, known_at.
-    """
-    most = HOT_PAIRS if most is None else most
-    live = keyed.select("block", "class", "known", F.lit(0).alias("known_at"))
-    done = None
-    for level in range(levels + 1):
-        live = materialize(live)
-        n = [F.count_if(F.col("known_at") == m) for m in range(1 << level)]
-        pairs = n[0] * (n[0] - 1) / 2
-        for i in range(1 << level):
-            for k in range(i + 1, 1 << level):
-                pairs = pairs + n[i] * n[k] if not i & k else pairs
-        sizes = materialize(live.groupBy("block").agg(pairs.alias("pairs")).where("pairs > 0"))
-        joined = live.join(broadcast_if_small(sizes), "block")
-        last = level == levels or sizes.where(F.col("pairs") > most).isEmpty()
-        cool = joined if last else joined.where(F.col("pairs") <= most)
-        done = cool if done is None else done.unionByName(cool)
-        if last:
-            break
-        values = F.get("known", F.lit(level))
-        known = F.size(values) > 0
-        bit = F.col("known_at").bitwiseOR(F.when(known, 1 << level).otherwise(0))
-
-        def part(v: Column) -> Column:
-            return F.xxhash64("block", F.lit(level), v)
-
-        own = F.transform(values, lambda v: F.struct(part(v).alias("block"), F.col("known_at").alias("known_at")))
-        rest = F.array(F.struct(part(F.lit("")).alias("block"), bit.alias("known_at")))
-        live = joined.where(F.col("pairs") > most).select(F.explode(F.concat(own, rest)).alias("e"), "class", "known").select("e.block", "class", "known", "e.known_at")
-    return done.drop("pairs")
-
-
 def link_members(df: DataFrame, a: Attributes) -> DataFrame:
     """Entity of every key: key, entity (a number; keys of one entity bear the same).
 
@@ -195,14 +156,13 @@ def link_members(df: DataFrame, a: Attributes) -> DataFrame:
         return pd.Series(out)
 
     keyed = classes.select("class", "known", F.explode(blocks("codes", "f")).alias("block")).withColumn("block", F.xxhash64("block"))
-    live = split_hot(keyed, levels)
+    live = split_hot(keyed, [F.get("known", F.lit(i)) for i in range(levels)], HOT_PAIRS)
     l, r = live.alias("l"), live.alias("r")
     agree = []
     for i in range(levels):
         x, y = F.get("l.known", F.lit(i)), F.get("r.known", F.lit(i))
         agree.append((F.size(x) == 0) | (F.size(y) == 0) | F.arrays_overlap(x, y))
-    meet = (F.col("l.class") < F.col("r.class")) & (F.col("l.known_at").bitwiseAND(F.col("r.known_at")) == 0)
-    met = l.join(r, reduce(and_, [F.col("l.block") == F.col("r.block"), meet, *agree]))
+    met = l.join(r, reduce(and_, [may_meet("l", "r"), F.col("l.class") < F.col("r.class"), *agree]))
     pairs = materialize(met.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct())
     feats = classes.select("class", "f")
     both = pairs.join(feats.select(F.col("class").alias("a"), F.col("f").alias("fa")), "a").join(feats.select(F.col("class").alias("b"), F.col("f").alias("fb")), "b")

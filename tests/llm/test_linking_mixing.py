@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from caudal.llm import linkage, mixing, variants
+from caudal.llm.blocks import split_hot
 from caudal.llm.components import components
 from caudal.llm.names import edits, jaro_winkler, parse, similarity
 
@@ -74,15 +75,21 @@ def test_split_blocks_lose_no_pair(spark):
     rng = random.Random(4)
     rows = [(7, i, [rng.choice([[], ["p"], ["q"]]), rng.choice([[], ["x"], ["y"], ["x", "y"]]), rng.choice([[], ["u"], ["v"], ["w"]])]) for i in range(60)]
     df = spark.createDataFrame(rows, "block long, class long, known array<array<string>>")
+    values = [F.get("known", F.lit(i)) for i in range(3)]
     want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and all(not x or not y or set(x) & set(y) for x, y in zip(a[2], b[2]))}
     for most in (1, 20, 10_000):
         got, blocks = set(), {}
-        for r in variants.split_hot(df, 3, most).collect():
+        for r in split_hot(df, values, most).collect():
             blocks.setdefault(r["block"], []).append(r)
         for rs in blocks.values():
             got |= {(a["class"], b["class"]) for a in rs for b in rs if a["class"] < b["class"] and not a["known_at"] & b["known_at"]}
         assert want <= got
-    assert variants.split_hot(df.limit(0), 3).count() == 0
+    assert split_hot(df.limit(0), values, 1).count() == 0
+    sided = {}
+    for r in split_hot(df.withColumn("side", F.col("class") % 2), values, 1, "side").collect():
+        sided.setdefault(r["block"], []).append(r)
+    got = {(a["class"], b["class"]) for rs in sided.values() for a in rs for b in rs if a["side"] == 0 and b["side"] == 1 and not a["known_at"] & b["known_at"]}
+    assert {p for w in want for p in (w, w[::-1]) if p[0] % 2 == 0 and p[1] % 2 == 1} <= got
 
 
 @settings(max_examples=8, deadline=None)
