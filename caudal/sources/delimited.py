@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -83,9 +84,14 @@ def _parse(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([split_record(t) for t in texts], columns=["fields", "problem"])
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def is_null_word(c: Column) -> Column:
     """Null, or one of the null spellings after trimming, in any case."""
-    return c.isNull() | F.upper(utrim(c)).isin(NULLS)
+    return F.coalesce(F.upper(utrim(c)), F.lit("")).isin(NULLS)
 
 
 def date_problem(value: Column) -> Column:
@@ -101,7 +107,10 @@ def date_problem(value: Column) -> Column:
 
 def number_value(value: Column) -> Column:
     """Decimal(38,18) of a tolerant number text, null where it is none or beyond 20 integer digits."""
-    tight = F.regexp_replace(value, r"(?U)\s+", "")
+    return _let(F.regexp_replace(value, r"(?U)\s+", ""), _number_of)
+
+
+def _number_of(tight: Column) -> Column:
     bare = F.when(
         tight.rlike(_DOTTED) & ~tight.rlike(r"^[^.]*\.\d{3}(?:[eE]|$)"),
         F.translate(F.regexp_replace(tight, r"\.", ""), ",", "."),
@@ -113,26 +122,31 @@ def number_value(value: Column) -> Column:
         F.when(tight.rlike(_COMMAED), F.regexp_replace(tight, ",", "")),
         F.when(tight.rlike(_PLAIN), F.translate(tight, ",", ".")),
     )
-    bare = F.regexp_replace(bare, r"[$+]", "")
-    # Exponents of four digits and more leave nothing or everything of the value.
-    bare = F.when(bare.rlike(r"[eE]-\d{4,}$") | bare.rlike(r"^-?[0.]+[eE]"), F.lit("0")).when(bare.rlike(r"[eE]0*[1-9]\d{3,}$"), None).otherwise(bare)
-    return bare.try_cast("decimal(38,18)")
+
+    def cast(b: Column) -> Column:
+        # Exponents of four digits and more leave nothing or everything of the value.
+        kept = F.when(b.rlike(r"[eE]-\d{4,}$") | b.rlike(r"^-?[0.]+[eE]"), F.lit("0")).when(b.rlike(r"[eE]0*[1-9]\d{3,}$"), None).otherwise(b)
+        return kept.try_cast("decimal(38,18)")
+
+    return _let(F.regexp_replace(bare, r"[$+]", ""), cast)
 
 
 def number_problem(value: Column) -> Column:
     """Reason why trimmed ``value`` is no number below the limit; null if it is one or stands for null."""
-    tight = F.regexp_replace(value, r"(?U)\s+", "")
-    shaped = tight.rlike(_PLAIN) | tight.rlike(_DOTTED) | tight.rlike(_COMMAED)
-    number = number_value(value)
-    within = number.isNotNull() & (F.abs(number) < F.lit(NUMBER_LIMIT).cast("decimal(38,18)"))
-    return F.when(is_null_word(value) | (shaped & within), None).when(shaped, "number_too_large").otherwise("not_a_number")
+
+    def problem(tight: Column) -> Column:
+        shaped = tight.rlike(_PLAIN) | tight.rlike(_DOTTED) | tight.rlike(_COMMAED)
+        within = F.coalesce(F.abs(_number_of(tight)) < F.lit(NUMBER_LIMIT).cast("decimal(38,18)"), F.lit(False))
+        return F.when(shaped, F.when(~within, "number_too_large")).otherwise("not_a_number")
+
+    return F.when(~is_null_word(value), _let(F.regexp_replace(value, r"(?U)\s+", ""), problem))
 
 
-def parse_feed(df: DataFrame, feed: Feed, file: str = "source_file_id", row: str = "raw_row_num", text: str = "raw_text") -> DataFrame:
+def parse_feed(df: DataFrame, feed: Feed, file: str = "source_file_id", row: str = "raw_row_num", text: str = "raw_text", keep_values: bool = True) -> DataFrame:
     """Each non-header record of ``df`` with its named fields and the reasons why it fails.
 
-    Result: file, row, values (map of header name to text, only where the field count is right),
-    reasons (array, empty for a valid record). Record 0 of a file is its header; its names are trimmed
+    Result: file, row, values (map of header name to text, only where the field count is right, and only
+    with ``keep_values``), reasons (array, empty for a valid record). Record 0 of a file is its header; its names are trimmed
     and freed of a byte-order mark. Records of a file without header fail with ``no_header``; of
     several headers of a file the least text counts. A checked column that the header lacks fails a
     key column (``missing_key:``) and is null otherwise. Repeated records are kept, each by itself.
@@ -151,35 +165,36 @@ def parse_feed(df: DataFrame, feed: Feed, file: str = "source_file_id", row: str
         .select("file", F.transform(_parse(F.regexp_replace("text", "^﻿", "")).fields, lambda x: utrim(x)).alias("header"))
     )
     records = base.where("row <> 0 OR row IS NULL").select("file", "row", _parse("text").alias("p")).select("file", "row", "p.*")
-    rows = records.join(broadcast_if_small(header), "file", "left")
+    rows = records.join(broadcast_if_small(materialize(header)), "file", "left")
     fits = F.size("header") == F.size("fields")
 
     def cell(name: str) -> Column:
-        at = F.array_position("header", name).cast("int")
-        return F.when(fits & (at > 0), utrim(F.get(F.col("fields"), at - 1)))
+        return F.when(fits, F.get(F.col("fields"), F.array_position("header", name).cast("int") - 1))
 
+    # Each cell is looked up, trimmed and tested for null once.
+    cells = {c: f"c{i}" for i, (_, c) in enumerate(checked)}
+    rows = rows.withColumn("fits", fits).withColumns({v: utrim(cell(c)) for c, v in cells.items()})
+    rows = rows.withColumns({v: F.when(~is_null_word(F.col(v)), F.col(v)) for v in cells.values()})
     structure = F.array(
         F.col("problem"),
-        F.when(F.col("header").isNull(), "no_header").when(~fits & F.col("problem").isNull(), "field_count"),
-        *[F.when(fits & is_null_word(cell(c)), F.concat(F.lit("missing_key:"), F.lit(c))) for c in feed.keys],
+        F.when(F.col("header").isNull(), "no_header").when(~F.col("fits") & F.col("problem").isNull(), "field_count"),
+        *[F.when(F.col("fits") & F.col(cells[c]).isNull(), F.concat(F.lit("missing_key:"), F.lit(c))) for c in feed.keys],
     )
+    named = F.map_from_arrays(F.transform("header", lambda x, i: F.when(F.array_position("header", x) == i + 1, x).otherwise(F.concat(x, F.lit("#"), i))), "fields")
+    values = [F.when(F.col("fits"), named).alias("values")] if keep_values else []
     valued = [(kind, c) for kind, c in checked if kind != "key"]
-    rows = materialize(
-        rows.select(
-            "file", "row", F.filter(structure, lambda x: x.isNotNull()).alias("structure"),
-            F.when(fits, F.map_from_arrays(F.transform("header", lambda x, i: F.when(F.array_position("header", x) == i + 1, x).otherwise(F.concat(x, F.lit("#"), i))), "fields")).alias("values"),
-            *[F.when(~is_null_word(cell(c)), cell(c)).alias(f"v{i}") for i, (_, c) in enumerate(valued)],
-        )
-    )
+    rows = materialize(rows.select("file", "row", F.filter(structure, lambda x: x.isNotNull()).alias("structure"), *values, *[F.col(cells[c]).alias(f"v{i}") for i, (_, c) in enumerate(valued)]))
     kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"v{i}").alias("value")) for i, (kind, _) in enumerate(valued)])
     distinct = rows.select(F.explode(kinds).alias("k")).select("k.*").where("value IS NOT NULL").distinct()
     problem = F.when(F.col("kind") == "date", date_problem(F.col("value"))).otherwise(number_problem(F.col("value")))
-    bad = broadcast_if_small(materialize(distinct.withColumn("problem", problem).where("problem IS NOT NULL")))
+    # Exploded rather than filtered: a filter would be pushed below and judge each value twice.
+    judged = F.explode(F.filter(F.array(problem), lambda x: x.isNotNull())).alias("problem")
+    bad = broadcast_if_small(materialize(distinct.select("kind", "value", judged)))
     for i, (kind, _) in enumerate(valued):
         one = bad.where(F.col("kind") == kind).select(F.col("value").alias(f"v{i}"), F.col("problem").alias(f"p{i}"))
         rows = rows.join(one, f"v{i}", "left")
     invalid = F.array(*[F.when(F.col(f"p{i}").isNotNull(), F.concat(F.col(f"p{i}"), F.lit(f":{c}"))) for i, (_, c) in enumerate(valued)])
-    return rows.select("file", "row", "values", F.concat("structure", F.filter(invalid, lambda x: x.isNotNull())).alias("reasons"))
+    return rows.select("file", "row", *(["values"] if keep_values else []), F.concat("structure", F.filter(invalid, lambda x: x.isNotNull())).alias("reasons"))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
