@@ -8,15 +8,21 @@ from pyspark.sql import types as T
 
 from caudal.scale import broadcast_if_small, materialize
 
-#: Texts longer than this are stood for by their SHA-256 in the distinct shuffle.
+#: Texts longer than this are stood for by their SHA-256 in the distinct shuffle, and their range is looked up afterwards.
 HEAD = 32
+#: Days before and after the origin beyond which a date measures as that many, so that sentinels don't outweigh all others.
+DAYS = (-400, 800)
+#: Texts measure as a hash in (-HASHES, HASHES): how often each value occurs decides the mean of that.
+HASHES = 1000
+#: Statistics of a load and column that are set against the other loads.
+DIFFERENCES = ["std_difference", "spread_difference", "null_difference", "violation_difference", "distinct_difference"]
 
 
 def measure(c: Column, kind: T.DataType, origin: Column | None = None) -> Column | None:
-    """Integer measure whose powers are summed exactly; None for texts.
+    """Integer measure whose powers are summed exactly; None for arrays, maps and the like.
 
     Numbers: thousandths of the signed decimal logarithm of 1 + |x|; booleans 0 and 1; dates: whole days
-    since ``origin`` (or since 1970).
+    since ``origin``, within ``DAYS``, or since 1970; texts: a hash.
     """
     if isinstance(kind, T.BooleanType):
         return c.cast("long")
@@ -25,7 +31,12 @@ def measure(c: Column, kind: T.DataType, origin: Column | None = None) -> Column
         return F.when(F.isnan(x), None).otherwise(F.round(F.signum(x) * F.log10(1 + F.least(F.abs(x), F.lit(1e300))) * 1000)).cast("long")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         seconds = F.unix_seconds(c.cast("timestamp"))
-        return F.floor((seconds if origin is None else seconds - F.unix_seconds(origin.cast("timestamp"))) / 86400).cast("long")
+        if origin is None:
+            return F.floor(seconds / 86400).cast("long")
+        days = F.floor((seconds - F.unix_seconds(origin.cast("timestamp"))) / 86400)
+        return F.when(days.isNotNull(), F.greatest(F.lit(DAYS[0]), F.least(F.lit(DAYS[1]), days))).cast("long")
+    if isinstance(kind, T.StringType):
+        return F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(2 * HASHES - 1)) - HASHES + 1).cast("long")
     return None
 
 
@@ -35,10 +46,8 @@ def profile(
     """Profile of each column in each load.
 
     Rows, nulls, exact distinct values, ranges (``number_min/max`` of numbers, ``text_min/max`` of all
-    else as text, first 32 characters), longest text, regex violations (``patterns``: column to pattern
-    that a whole value must match), exact power sums 1 to 4 of ``measure`` and what follows from them:
-    mean, standard deviation, skewness and the difference of the mean from all other loads' in pooled
-    standard deviations.
+    else as text), longest text, regex violations (``patterns``: column to pattern that a whole value must
+    match), exact power sums 1 to 4 of ``measure``, and what ``differences`` makes of them.
 
     The power sums are decimals of integers: partial sums merge exactly in any order. Rows are combined
     by (load, column, value) before the shuffle, so a value or load that holds a third of the rows is no
@@ -90,26 +99,62 @@ def profile(
         F.coalesce(F.sum(F.when(F.col("m").isNotNull(), F.col("n"))), F.lit(0)).alias("n_measured"),
         *powers,
     )
-    return moments(materialize(stats))
+    return differences(_whole_ends(df, load, materialize(stats), [c for c in columns if isinstance(kinds[c], T.StringType)]))
 
 
-def moments(stats: DataFrame) -> DataFrame:
-    """Add mean, sd, skewness and std_difference to rows of load_id, column_name, n_measured and power_sum_1..4."""
-    sums = ["n_measured", *[f"power_sum_{k}" for k in range(1, 5)]]
-    whole = stats.groupBy("column_name").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
-    d = stats.join(broadcast_if_small(whole), "column_name", "left")
-    own = [F.col(c).cast("double") for c in sums]
-    rest = [F.col(f"all_{c}").cast("double") - F.coalesce(F.col(c), F.lit(0)).cast("double") for c in sums]
+def _whole_ends(df: DataFrame, load: str, stats: DataFrame, texts: list[str]) -> DataFrame:
+    """``stats`` with the whole least and greatest texts where it has only their first ``HEAD`` characters.
 
-    def two(s: list[Column]) -> tuple[Column, Column]:
-        mean = F.try_divide(s[1], s[0])
-        return mean, F.greatest(F.lit(0.0), F.try_divide(s[2], s[0]) - mean * mean)
-
-    (mean, var), (mean_rest, var_rest) = two(own), two(rest)
-    third = F.try_divide(own[3], own[0]) - 3 * mean * F.try_divide(own[2], own[0]) + 2 * mean * mean * mean
+    Only texts that begin like such an end are read again; they are combined before the shuffle.
+    """
+    cut = stats.where((F.length("text_min") == HEAD) | (F.length("text_max") == HEAD)).select("load_id", "column_name", "text_min", "text_max")
+    names = sorted(r["column_name"] for r in cut.select("column_name").distinct().collect() if r["column_name"] in texts)  # columns of one table
+    if not names:
+        return stats
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("text")) for c in names])
+    rows = df.select(F.col(f"`{load}`").alias("l"), F.explode(cells).alias("c")).select("l", "c.*").where("text IS NOT NULL").withColumn("head", F.left("text", F.lit(HEAD)))
+    e, r = F.broadcast(cut).alias("e"), rows.alias("r")  # one row a load and column
+    near = r.join(e, F.col("r.l").eqNullSafe(F.col("e.load_id")) & (F.col("r.column_name") == F.col("e.column_name")) & ((F.col("head") == F.col("text_min")) | (F.col("head") == F.col("text_max"))))
+    ends = near.groupBy("e.load_id", "e.column_name").agg(F.min(F.when(F.col("head") == F.col("text_min"), F.col("text"))).alias("least"), F.max(F.when(F.col("head") == F.col("text_max"), F.col("text"))).alias("greatest"))
+    ends = materialize(ends.select(F.col("load_id").alias("l2"), F.col("column_name").alias("c2"), "least", "greatest"))
+    both = stats.join(F.broadcast(ends), F.col("load_id").eqNullSafe(F.col("l2")) & (F.col("column_name") == F.col("c2")), "left")
+    return both.withColumn("text_min", F.coalesce("least", "text_min")).withColumn("text_max", F.coalesce("greatest", "text_max")).select(*stats.columns)
+
+
+def differences(stats: DataFrame) -> DataFrame:
+    """Add moments and standardised differences across loads to the sums of ``profile``.
+
+    mean, sd, skewness of the measure; then how far the load stands from the median of all other loads, in
+    standard deviations: ``std_difference`` of the mean, ``spread_difference`` of the mean square,
+    ``null_difference``, ``violation_difference`` and ``distinct_difference`` of the shares of nulls among the
+    rows, of violations and of distinct values among the others (a share p has the deviation sqrt(p (1 - p))).
+    A difference of two constants counts as 10 deviations. Null where nothing is measured or no other load is.
+    """
+    n, s1, s2, s3, s4 = (F.col(c).cast("double") for c in ("n_measured", "power_sum_1", "power_sum_2", "power_sum_3", "power_sum_4"))
+    mean, square, fourth = F.try_divide(s1, n), F.try_divide(s2, n), F.try_divide(s4, n)
+    var = F.greatest(F.lit(0.0), square - mean * mean)
+    third = F.try_divide(s3, n) - 3 * mean * square + 2 * mean * mean * mean
+    filled = (F.col("n_rows") - F.col("n_nulls")).cast("double")
+    shares = {"null": F.col("n_nulls") / F.col("n_rows"), "violation": F.try_divide(F.col("n_violations").cast("double"), filled), "distinct": F.try_divide(F.col("n_distinct").cast("double"), filled)}
+    own = {"mean": (mean, var), "square": (square, F.greatest(F.lit(0.0), fourth - square * square)), **{k: (p, p * (1 - p)) for k, p in shares.items()}}
+    packed = F.struct(F.coalesce("load_id", F.lit("\0")).alias("load_id"), *[x.alias(f"{k}_{i}") for k, xs in own.items() for i, x in enumerate(xs)])
+    # One entry a load.
+    all_loads = materialize(stats.groupBy("column_name").agg(F.collect_list(packed).alias("all")))
+    d = stats.join(broadcast_if_small(all_loads), "column_name")
+
+    def median(field: str) -> Column:
+        others = F.filter("all", lambda x: (x.load_id != F.coalesce("load_id", F.lit("\0"))) & x[field].isNotNull())
+        values = F.array_sort(F.transform(others, lambda x: x[field]))
+        return F.when(F.size(values) > 0, F.get(values, ((F.size(values) - 1) / 2).cast("int")))
+
+    def difference(k: str) -> Column:
+        gap = own[k][0] - F.col(f"{k}_0_usual")
+        sd = F.sqrt((own[k][1] + F.col(f"{k}_1_usual")) / 2)
+        return F.when(F.abs(gap) < 1e-12, F.when(gap.isNotNull(), 0.0)).otherwise(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.when(sd > 0, gap / sd).otherwise(F.signum(gap) * 10))))
+
+    d = d.select("*", *[median(f"{k}_{i}").alias(f"{k}_{i}_usual") for k in own for i in (0, 1)])
     return d.select(
-        *stats.columns, mean.alias("mean"), F.sqrt(var).alias("sd"), F.try_divide(third, F.pow(var, F.lit(1.5))).alias("skewness"),
-        F.try_divide(mean - mean_rest, F.sqrt((var + var_rest) / 2)).alias("std_difference"),
+        *stats.columns, mean.alias("mean"), F.sqrt(var).alias("sd"), F.try_divide(third, F.pow(var, F.lit(1.5))).alias("skewness"), *[difference(k).alias(c) for k, c in zip(own, DIFFERENCES)],
     )
 
 

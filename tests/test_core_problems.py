@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import io
+import re
 from decimal import Decimal
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caudal.operators.profile import departures, profile
 from caudal.operators.snapshot_diff import snapshot_changes
-from caudal.plans.core_queries import p5_found
+from caudal.plans.core_queries import p5_differences, p5_found
 from caudal.sources.delimited import Feed, date_problem, loaded, number_problem, number_value, parse_feed, rejected, split_record
 
 
@@ -155,3 +156,38 @@ def test_departures_spread_thinly(spark, tmp_path):
             rows.append((load, Decimal(1000 * (1 + i % 9)), region, close, start))
     spark.createDataFrame(rows, "source_file_id string, monto_estimado decimal(20,6), region_unidad string, fecha_cierre timestamp_ntz, created_at timestamp").write.parquet(f"{tmp_path}/normalized_licitaciones.parquet")
     assert {tuple(r) for r in p5_found(spark, str(tmp_path)).collect()} == {("dates", "fecha_cierre"), ("regions", "region_unidad")}
+
+
+def test_whole_text_ranges(spark):
+    """Least and greatest texts that agree in their first characters."""
+    head = "x" * 40
+    df = spark.createDataFrame([("a", head + "b"), ("a", head + "a"), ("a", head + "c" * 9000), ("a", None), ("b", "short"), (None, head + "z")], "l string, t string")
+    got = {r["load_id"]: (r["text_min"], r["text_max"]) for r in profile(df, "l").collect()}
+    assert got == {"a": (head + "a", head + "c" * 9000), "b": ("short", "short"), None: (head + "z", head + "z")}
+
+
+def test_differences_find_each_kind_of_departure(spark, tmp_path):
+    """Nulls, other forms, another mix of known values, shifted numbers: by the profile's differences alone."""
+    start = dt.datetime(2026, 1, 5, 12)
+    rows = []
+    for load in ("l0", "l1", "l2", "l3", "nulls", "form", "mix", "shift"):
+        for i in range(400):
+            moved = i % 5 < 2
+            region = None if load == "nulls" and moved else "13" if load == "form" and moved else "Región Maule" if load == "mix" and moved else f"Región {'Maule Ñuble Biobío Aysén'.split()[i % 4]}"
+            amount = Decimal(1 + i % 9) * (1000000 if load == "shift" and moved else 1000)
+            rows.append((load, amount, region, start + dt.timedelta(days=14 + i % 14, hours=i % 8), start))
+    spark.createDataFrame(rows, "source_file_id string, monto_estimado decimal(20,6), region_unidad string, fecha_cierre timestamp_ntz, created_at timestamp").write.parquet(f"{tmp_path}/normalized_licitaciones.parquet")
+    want = {("nulls", "region_unidad"), ("form", "region_unidad"), ("mix", "region_unidad"), ("shift", "monto_estimado")}
+    assert {(r["load_id"], r["column_name"]) for r in p5_differences(spark, str(tmp_path)).where("abs(difference) >= 0.3").collect()} == want
+    assert {tuple(r) for r in p5_found(spark, str(tmp_path)).collect()} == want
+
+
+def test_narrow_reads(spark):
+    """Queries over the latest rows read only the columns they use."""
+    from caudal.plans import registry
+
+    for name, few in (("h1_days_to_close", 5), ("h8_percentiles", 2), ("w4_latest_by_mode", 12), ("r2_detail", 40)):
+        if name in registry.queries():
+            plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
+                assert schema.count(":") <= few, (name, schema)
