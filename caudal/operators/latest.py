@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that is greatest by ``order`` (nulls last), as one aggregate: no sort of a hot key.
+def latest(df: DataFrame, keys: list[str], order: list[Column], columns: list[str] | None = None) -> DataFrame:
+    """The row of each key that is greatest by ``order`` (nulls last), as one aggregate: no window over a hot key.
 
-    Give a unique last order column for a defined choice among ties.
+    Only ``columns`` (all where None) are read, combined and shuffled: name the ones used, since the optimizer can't
+    prune a packed row. Give a unique last order column for a defined choice among ties.
     """
-    packed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("row"))
+    packed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*(columns or df.columns)).alias("row"))
     return df.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.max(packed).alias("m")).select("m.row.*")
 
 
@@ -27,10 +28,10 @@ def mode_rank(mode: Column, ranks: dict[str, int], other: int) -> Column:
 MODES = {"detail-by-codigo": 0, "rolling-window": 1}
 
 
-def latest_snapshots(df: DataFrame, key: str, mode: str | None, synced: str, unique: str) -> DataFrame:
+def latest_snapshots(df: DataFrame, key: str, mode: str | None, synced: str, unique: str, columns: list[str] | None = None) -> DataFrame:
     """Latest snapshot of each notice: by trusted mode first where ``mode`` is given, then time, then id."""
     order = ([-mode_rank(F.col(mode), MODES, 2)] if mode else []) + [F.col(synced), F.col(unique)]
-    return latest(df, [key], order)
+    return latest(df, [key], order, columns)
 
 
 def contains_any(columns: list[str], text: str) -> Column:

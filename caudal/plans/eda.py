@@ -17,20 +17,29 @@ from pyspark.sql import functions as F
 from caudal.operators.latest import latest
 from caudal.scale import read
 
-ENTITIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "notice": lambda s, d: latest(read(s, d, "normalized_licitaciones"), ["codigo_externo"], [F.col("updated_at"), F.col("row_hash_sha256")]),
-    "line": lambda s, d: latest(read(s, d, "silver_notice_line"), ["notice_line_id"], [F.col("updated_at"), F.col("row_hash_sha256")]),
-    "po": lambda s, d: read(s, d, "silver_purchase_order"),
-    "poline": lambda s, d: latest(read(s, d, "silver_purchase_order_line"), ["purchase_order_line_id"], [F.col("updated_at"), F.col("row_hash_sha256")]),
-    "buyer": lambda s, d: latest(read(s, d, "normalized_buyers"), ["buyer_key"], [F.col("updated_at")]),
-    "supplier_dim": lambda s, d: latest(read(s, d, "normalized_suppliers"), ["supplier_key"], [F.col("updated_at")]),
-    "link": lambda s, d: read(s, d, "silver_notice_purchase_order_link"),
-    "bid": lambda s, d: read(s, d, "lineitem").selectExpr("l_orderkey AS notice_id", "l_partkey AS item_code", "l_suppkey AS supplier_key", "l_extendedprice AS amount", "l_returnflag <> 'N' AS selected", "l_shipdate AS offered_at"),
-    "award": lambda s, d: read(s, d, "lineitem").where("l_returnflag = 'R'").selectExpr("l_orderkey AS notice_id", "l_partkey AS item_code", "l_suppkey AS supplier_key", "l_extendedprice AS amount"),
-    "bidnotice": lambda s, d: read(s, d, "orders").selectExpr("o_orderkey AS notice_id", "o_custkey AS buyer_key", "o_totalprice AS amount", "o_orderdate AS published_at"),
-    "item": lambda s, d: read(s, d, "part").selectExpr("p_partkey AS item_code", "p_brand AS level_3", "p_type AS level_2"),
-    "doc": lambda s, d: read(s, d, "documents"),
+#: Entity: (table, key, order of its rows by time); the latest row of a key counts.
+LATEST = {
+    "notice": ("normalized_licitaciones", "codigo_externo", ["updated_at", "row_hash_sha256"]), "line": ("silver_notice_line", "notice_line_id", ["updated_at", "row_hash_sha256"]),
+    "poline": ("silver_purchase_order_line", "purchase_order_line_id", ["updated_at", "row_hash_sha256"]), "buyer": ("normalized_buyers", "buyer_key", ["updated_at"]), "supplier_dim": ("normalized_suppliers", "supplier_key", ["updated_at"]),
 }
+#: Entity: SQL over one table whose rows are entities themselves.
+SIMPLE = {
+    "po": ("silver_purchase_order", "*"), "link": ("silver_notice_purchase_order_link", "*"), "doc": ("documents", "*"),
+    "bid": ("lineitem", "l_orderkey AS notice_id, l_partkey AS item_code, l_suppkey AS supplier_key, l_extendedprice AS amount, l_returnflag <> 'N' AS selected, l_shipdate AS offered_at"),
+    "offer": ("lineitem", "l_partkey AS notice_id, CASE WHEN CAST(l_quantity AS INTEGER) % 8 <> 0 THEN CAST(CAST(l_quantity AS INTEGER) % 8 AS VARCHAR(9)) END AS item_code, l_linenumber AS line_no, l_suppkey AS supplier_key, l_extendedprice / l_quantity AS price, l_returnflag = 'A' AS selected, l_returnflag = 'A' AND l_linestatus = 'F' AS materialized"),
+    "offerline": ("lineitem", "DISTINCT l_partkey AS notice_id, CAST(CAST(l_quantity AS INTEGER) % 8 AS VARCHAR(9)) AS item_code, l_linenumber AS line_no"),
+    "product": ("part", "p_partkey AS notice_id, p_brand AS level_3, p_type AS level_2"),
+}
+
+
+def entity(spark: SparkSession, d: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows of an entity with ``columns`` (all where None); no other column is read."""
+    if name in LATEST:
+        table, key, order = LATEST[name]
+        return latest(read(spark, d, table), [key], [F.col(c) for c in order], columns)
+    table, exprs = SIMPLE[name]
+    df = spark.sql(f"SELECT {exprs} FROM {{t}}", t=read(spark, d, table))
+    return df.select(*columns) if columns else df
 
 
 def _first(table: str, key: str, *order: str) -> str:
@@ -38,20 +47,7 @@ def _first(table: str, key: str, *order: str) -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {by}) AS rn_ FROM {table}) q_ WHERE rn_ = 1)"
 
 
-ORACLE_ENTITIES = {
-    "notice": _first("normalized_licitaciones", "codigo_externo", "updated_at", "row_hash_sha256"),
-    "line": _first("silver_notice_line", "notice_line_id", "updated_at", "row_hash_sha256"),
-    "po": "(SELECT * FROM silver_purchase_order)",
-    "poline": _first("silver_purchase_order_line", "purchase_order_line_id", "updated_at", "row_hash_sha256"),
-    "buyer": _first("normalized_buyers", "buyer_key", "updated_at"),
-    "supplier_dim": _first("normalized_suppliers", "supplier_key", "updated_at"),
-    "link": "(SELECT * FROM silver_notice_purchase_order_link)",
-    "bid": "(SELECT l_orderkey AS notice_id, l_partkey AS item_code, l_suppkey AS supplier_key, l_extendedprice AS amount, l_returnflag <> 'N' AS selected, l_shipdate AS offered_at FROM lineitem)",
-    "award": "(SELECT l_orderkey AS notice_id, l_partkey AS item_code, l_suppkey AS supplier_key, l_extendedprice AS amount FROM lineitem WHERE l_returnflag = 'R')",
-    "bidnotice": "(SELECT o_orderkey AS notice_id, o_custkey AS buyer_key, o_totalprice AS amount, o_orderdate AS published_at FROM orders)",
-    "item": "(SELECT p_partkey AS item_code, p_brand AS level_3, p_type AS level_2 FROM part)",
-    "doc": "(SELECT * FROM documents)",
-}
+ORACLE_ENTITIES = {n: _first(t, k, *o) for n, (t, k, o) in LATEST.items()} | {n: f"(SELECT {e} FROM {t})" for n, (t, e) in SIMPLE.items()}
 
 
 class Spark:
@@ -99,22 +95,8 @@ QUERY_PACK: dict[str, Callable[[type], str]] = {
         SELECT coalesce(n.month, o.month) AS month, coalesce(n.notices, 0) AS notices, n.estimated AS estimated, coalesce(o.orders, 0) AS orders, o.ordered AS ordered
         FROM (SELECT {MONTH('fecha_publicacion')} AS month, count(*) AS notices, round(sum({DBL('monto_estimado')}), 2) AS estimated FROM notice WHERE fecha_publicacion IS NOT NULL GROUP BY 1) n
         FULL JOIN (SELECT {MONTH('order_created_at')} AS month, count(*) AS orders, round(sum({DBL('total_amount')}), 2) AS ordered FROM po WHERE order_created_at IS NOT NULL GROUP BY 1) o ON n.month = o.month""",
-    "b3_monthly_growth": lambda D: f"""
-        SELECT month, notices, notices - lag(notices) OVER (ORDER BY month) AS change, {_ratio('notices - lag(notices) OVER (ORDER BY month)', 'lag(notices) OVER (ORDER BY month)')} AS growth
-        FROM (SELECT {MONTH('fecha_publicacion')} AS month, count(*) AS notices FROM notice WHERE fecha_publicacion IS NOT NULL GROUP BY 1) m""",
     "b4_status_distribution": lambda D: "SELECT 'notice' AS entity, estado AS status, count(*) AS n FROM notice GROUP BY estado UNION ALL SELECT 'order' AS entity, purchase_order_status_name AS status, count(*) AS n FROM po GROUP BY purchase_order_status_name",
-    "b5_stopped_by_pattern": lambda D: f"SELECT purchase_order_type AS order_type, count(*) AS orders, count(*) FILTER (WHERE {D.like('lower(purchase_order_status_name)', '(cancel|anulad|rechaz)')}) AS stopped FROM po GROUP BY purchase_order_type",
-    "b6_freshness": lambda D: " UNION ALL ".join(f"SELECT '{t}' AS entity, CAST(CAST(max(updated_at) AS TIMESTAMP) AS DATE) AS newest, CAST(CAST(min(updated_at) AS TIMESTAMP) AS DATE) AS oldest FROM {t}" for t in ("notice", "line", "po", "poline", "buyer", "supplier_dim", "link")),
     # coverage
-    "c1_funnel": lambda D: f"""
-        SELECT a.notices, b.with_line, c.with_order, d.bids, d.awarded, {_ratio('b.with_line', 'a.notices')} AS line_share, {_ratio('c.with_order', 'a.notices')} AS order_share
-        FROM (SELECT count(*) AS notices FROM notice) a CROSS JOIN (SELECT count(DISTINCT notice_id) AS with_line FROM line) b
-        CROSS JOIN (SELECT count(DISTINCT notice_id) AS with_order FROM ({NOTICE_ORDERS}) u) c CROSS JOIN (SELECT count(*) AS bids, count(*) FILTER (WHERE selected) AS awarded FROM bid) d""",
-    "c2_per_notice": lambda D: f"""
-        SELECT {_ratio('(SELECT count(*) FROM line)', '(SELECT count(*) FROM notice)')} AS lines_per_notice, {_ratio(f'(SELECT count(*) FROM ({NOTICE_ORDERS}) u)', '(SELECT count(*) FROM notice)')} AS orders_per_notice""",
-    "c3_monthly_conversion": lambda D: f"""
-        SELECT {MONTH('n.fecha_publicacion')} AS month, count(*) AS notices, count(o.notice_id) AS with_order, {_ratio('count(o.notice_id)', 'count(*)')} AS conversion
-        FROM notice n LEFT JOIN (SELECT DISTINCT notice_id FROM ({NOTICE_ORDERS}) u) o ON o.notice_id = n.codigo_externo WHERE n.fecha_publicacion IS NOT NULL GROUP BY 1""",
     "c4_link_coverage": lambda D: """
         SELECT count(*) AS orders, count(*) FILTER (WHERE p.linked_notice_id IS NOT NULL) AS direct, count(b.purchase_order_id) AS bridged, count(*) FILTER (WHERE p.linked_notice_id IS NOT NULL AND b.purchase_order_id IS NOT NULL) AS both_ways
         FROM po p LEFT JOIN (SELECT DISTINCT purchase_order_id FROM link) b ON b.purchase_order_id = p.purchase_order_id""",
@@ -130,14 +112,6 @@ QUERY_PACK: dict[str, Callable[[type], str]] = {
     "d3_region_sector": lambda D: f"""
         SELECT b.region_unidad_compra AS region, b.sector, count(*) AS orders, count(DISTINCT b.buyer_key) AS buyers, round(sum({DBL('p.total_amount')}), 2) AS amount
         FROM po p JOIN buyer b ON b.buyer_key = {UNIT('p.purchase_order_id')} GROUP BY b.region_unidad_compra, b.sector""",
-    "d4_direct_award_share": lambda D: f"SELECT {UNIT('purchase_order_id')} AS buyer, count(*) AS orders, {_ratio('count(*) FILTER (WHERE is_direct_award_flag)', 'count(*)')} AS direct_share FROM po GROUP BY 1 HAVING count(*) >= 5",
-    "d5_buyer_concentration": lambda D: f"""
-        SELECT buyer, count(*) AS suppliers, round(sum(power(amount / nullif(total, 0), 2)), 6) AS hhi
-        FROM (SELECT buyer, amount, sum(amount) OVER (PARTITION BY buyer) AS total FROM (
-            SELECT {UNIT('purchase_order_id')} AS buyer, supplier_key, sum({DBL('total_amount')}) AS amount FROM po WHERE supplier_key IS NOT NULL GROUP BY 1, 2) g) s GROUP BY buyer""",
-    "d6_buyer_conversion": lambda D: f"""
-        SELECT n.codigo_unidad AS buyer, count(*) AS notices, count(o.notice_id) AS with_order, {_ratio('count(o.notice_id)', 'count(*)')} AS conversion
-        FROM notice n LEFT JOIN (SELECT DISTINCT notice_id FROM ({NOTICE_ORDERS}) u) o ON o.notice_id = n.codigo_externo GROUP BY n.codigo_unidad""",
     # suppliers
     "e1_top_suppliers_by_bids": lambda D: "SELECT supplier_key, count(*) AS bids, count(DISTINCT notice_id) AS notices FROM bid GROUP BY supplier_key ORDER BY bids DESC, supplier_key LIMIT 50",
     "e2_top_suppliers_by_amount": lambda D: f"""
@@ -153,100 +127,38 @@ QUERY_PACK: dict[str, Callable[[type], str]] = {
         SELECT supplier_key, buyer, amount FROM (
             SELECT supplier_key, buyer, amount, row_number() OVER (PARTITION BY supplier_key ORDER BY amount DESC NULLS LAST, n DESC, buyer) AS r FROM (
                 SELECT supplier_key, {UNIT('purchase_order_id')} AS buyer, round(sum({DBL('total_amount')}), 2) AS amount, count(*) AS n FROM po WHERE supplier_key IS NOT NULL GROUP BY 1, 2) g) t WHERE r = 1""",
-    "e5_offer_to_award": lambda D: f"SELECT supplier_key, count(*) AS bids, count(*) FILTER (WHERE selected) AS selected_bids, count(DISTINCT CASE WHEN selected THEN notice_id END) AS notices_won, {_ratio('count(*) FILTER (WHERE selected)', 'count(*)')} AS win_rate FROM bid GROUP BY supplier_key HAVING count(*) >= 10",
-    "e6_award_to_order": lambda D: f"""
-        SELECT a.supplier_key, count(DISTINCT a.notice_id) AS awarded, count(DISTINCT CASE WHEN o.o_orderstatus = 'F' THEN a.notice_id END) AS ordered
-        FROM award a JOIN orders o ON o.o_orderkey = a.notice_id GROUP BY a.supplier_key""",
     # categories
     "f1_categories_by_notices": lambda D: "SELECT category_level_3 AS category, count(DISTINCT notice_id) AS notices FROM line GROUP BY 1 ORDER BY notices DESC, category LIMIT 50",
     "f2_categories_by_amount": lambda D: f"SELECT category_level_3 AS category, round(sum({DBL('line_net_total')}), 2) AS amount FROM poline GROUP BY 1 ORDER BY amount DESC NULLS LAST, category LIMIT 50",
-    "f3_categories_by_lines": lambda D: f"SELECT category_level_1 AS level_1, category_level_3 AS level_3, count(*) AS line_count, round(avg({DBL('quantity_requested')}), 4) AS mean_quantity FROM line GROUP BY 1, 2 ORDER BY line_count DESC, level_1, level_3 LIMIT 50",
-    "f4_most_competitive": lambda D: f"""
-        SELECT category, round(avg(suppliers), 4) AS mean_suppliers, {_percentiles('suppliers', {'median_suppliers': 0.5})} FROM (
-            SELECT i.level_3 AS category, b.notice_id, b.item_code, count(DISTINCT b.supplier_key) AS suppliers FROM bid b LEFT JOIN item i ON i.item_code = b.item_code GROUP BY 1, 2, 3) g GROUP BY category""",
     "f5_suppliers_per_category": lambda D: "SELECT l.category_level_3 AS category, count(DISTINCT p.supplier_key) AS suppliers FROM po p JOIN poline l ON l.purchase_order_id = p.purchase_order_id GROUP BY 1",
-    "f6_direct_award_per_category": lambda D: f"""
-        SELECT l.category_level_3 AS category, count(DISTINCT p.purchase_order_id) AS orders, count(DISTINCT CASE WHEN p.is_direct_award_flag THEN p.purchase_order_id END) AS direct
-        FROM po p JOIN poline l ON l.purchase_order_id = p.purchase_order_id GROUP BY 1 HAVING count(DISTINCT p.purchase_order_id) >= 5""",
-    "f7_categories_per_buyer": lambda D: f"SELECT {UNIT('l.purchase_order_id')} AS buyer, count(DISTINCT l.category_level_3) AS categories FROM poline l JOIN po p ON p.purchase_order_id = l.purchase_order_id GROUP BY 1",
-    "f8_categories_per_supplier": lambda D: "SELECT p.supplier_key, count(DISTINCT l.category_level_3) AS categories FROM poline l JOIN po p ON p.purchase_order_id = l.purchase_order_id WHERE p.supplier_key IS NOT NULL GROUP BY 1",
     # competition
     "g1_bidders": lambda D: """
         SELECT (SELECT round(avg(CAST(n AS DOUBLE)), 4) FROM (SELECT count(DISTINCT supplier_key) AS n FROM bid GROUP BY notice_id) a) AS per_notice,
           (SELECT round(avg(CAST(n AS DOUBLE)), 4) FROM (SELECT count(DISTINCT supplier_key) AS n FROM bid GROUP BY notice_id, item_code) b) AS per_line""",
-    "g2_unique_suppliers": lambda D: "SELECT i.level_2 AS category, count(DISTINCT b.supplier_key) AS suppliers FROM bid b JOIN item i ON i.item_code = b.item_code GROUP BY 1",
-    "g3_buyer_category_concentration": lambda D: f"""
-        SELECT buyer, category, count(*) AS suppliers, round(sum(power(amount / nullif(total, 0), 2)), 6) AS hhi FROM (
-            SELECT buyer, category, amount, sum(amount) OVER (PARTITION BY buyer, category) AS total FROM (
-                SELECT {UNIT('p.purchase_order_id')} AS buyer, l.category_level_1 AS category, p.supplier_key, sum({DBL('l.line_net_total')}) AS amount
-                FROM po p JOIN poline l ON l.purchase_order_id = p.purchase_order_id WHERE p.supplier_key IS NOT NULL GROUP BY 1, 2, 3) g) s GROUP BY buyer, category HAVING count(*) >= 2""",
-    "g4_price_dispersion": lambda D: f"""
-        SELECT onu_product_code AS product, count(*) AS n, round(avg({DBL('unit_net_price')}), 4) AS mean_price, round(stddev_pop({DBL('unit_net_price')}) / nullif(avg({DBL('unit_net_price')}), 0), 6) AS cv
-        FROM poline WHERE unit_net_price > 0 AND onu_product_code IS NOT NULL GROUP BY 1 HAVING count(*) >= 5""",
-    "g5_competition_segments": lambda D: """
-        SELECT CASE WHEN n = 1 THEN 'one' WHEN n <= 3 THEN 'few' ELSE 'many' END AS segment, count(*) AS notices, round(avg(amount), 4) AS mean_amount
-        FROM (SELECT b.notice_id, count(DISTINCT b.supplier_key) AS n, max(o.amount) AS amount FROM bid b JOIN bidnotice o ON o.notice_id = b.notice_id GROUP BY b.notice_id) g GROUP BY 1""",
     # times
     **{
         f"h{i}_{name}": (lambda a, b, rel: lambda D: f"SELECT count(*) AS n, round(avg({DBL(D.days(a, b))}), 4) AS mean_days, {_percentiles(D.days(a, b), {'p50': 0.5, 'p90': 0.9})} FROM {rel} WHERE {a} IS NOT NULL AND {b} IS NOT NULL")(a, b, rel)
         for i, name, a, b, rel in ((1, "days_to_close", "fecha_cierre", "fecha_publicacion", "notice"), (2, "days_to_award", "fecha_adjudicacion", "fecha_cierre", "notice"), (3, "days_to_acceptance", "order_accepted_at", "order_created_at", "po"))
     },
-    "h4_times_per_buyer": lambda D: f"SELECT codigo_unidad AS buyer, count(*) AS n, round(avg({DBL(D.days('fecha_cierre', 'fecha_publicacion'))}), 4) AS mean_days FROM notice WHERE fecha_cierre IS NOT NULL AND fecha_publicacion IS NOT NULL GROUP BY 1",
-    "h5_times_per_category": lambda D: f"SELECT l.category_level_1 AS category, count(*) AS n, round(avg({DBL(D.days('n.fecha_cierre', 'n.fecha_publicacion'))}), 4) AS mean_days FROM notice n JOIN line l ON l.notice_id = n.codigo_externo WHERE n.fecha_cierre IS NOT NULL AND n.fecha_publicacion IS NOT NULL GROUP BY 1",
-    "h6_short_deadlines": lambda D: f"SELECT codigo_externo, {D.days('fecha_cierre', 'fecha_publicacion')} AS days FROM notice WHERE {D.days('fecha_cierre', 'fecha_publicacion')} BETWEEN 0 AND 5 ORDER BY days, codigo_externo LIMIT 200",
-    "h7_late_acceptances": lambda D: f"SELECT purchase_order_id, {D.days('order_accepted_at', 'order_created_at')} AS days FROM po WHERE {D.days('order_accepted_at', 'order_created_at')} > 7 ORDER BY days DESC, purchase_order_id LIMIT 200",
-    "h8_percentiles": lambda D: f"SELECT {_percentiles(D.days('fecha_cierre', 'fecha_publicacion'), {'p10': 0.1, 'p25': 0.25, 'p50': 0.5, 'p75': 0.75, 'p90': 0.9})} FROM notice WHERE fecha_cierre IS NOT NULL AND fecha_publicacion IS NOT NULL",
     # links
     "i1_linked_orders": lambda D: f"SELECT count(*) AS orders, count(*) FILTER (WHERE is_linked_to_notice_flag) AS linked, {_ratio('count(*) FILTER (WHERE is_linked_to_notice_flag)', 'count(*)')} AS share FROM po",
     "i2_notices_with_orders": lambda D: f"SELECT a.n AS notices, b.n AS with_order, {_ratio('b.n', 'a.n')} AS share FROM (SELECT count(*) AS n FROM notice) a CROSS JOIN (SELECT count(DISTINCT u.notice_id) AS n FROM ({NOTICE_ORDERS}) u JOIN notice x ON x.codigo_externo = u.notice_id) b",
-    "i3_orders_per_linked_notice": lambda D: f"SELECT orders, count(*) AS notices FROM (SELECT notice_id, count(*) AS orders FROM ({NOTICE_ORDERS}) u GROUP BY notice_id) g GROUP BY orders",
-    "i4_buyer_link_rate": lambda D: f"SELECT {UNIT('purchase_order_id')} AS buyer, count(*) AS orders, {_ratio('count(linked_notice_id)', 'count(*)')} AS linked_share FROM po GROUP BY 1",
-    "i5_supplier_link_rate": lambda D: f"SELECT supplier_key, count(*) AS orders, {_ratio('count(linked_notice_id)', 'count(*)')} AS linked_share FROM po WHERE supplier_key IS NOT NULL GROUP BY 1",
-    "i6_category_conversion": lambda D: f"""
-        SELECT c.category, count(*) AS notices, count(o.notice_id) AS with_order, {_ratio('count(o.notice_id)', 'count(*)')} AS conversion FROM (SELECT DISTINCT category_level_1 AS category, notice_id FROM line) c
-        LEFT JOIN (SELECT DISTINCT notice_id FROM ({NOTICE_ORDERS}) u) o ON o.notice_id = c.notice_id GROUP BY c.category""",
     "i7_awarded_without_order": lambda D: f"SELECT n.codigo_externo FROM notice n WHERE n.fecha_adjudicacion IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ({NOTICE_ORDERS}) u WHERE u.notice_id = n.codigo_externo)",
-    "i8_orders_without_notice": lambda D: "SELECT p.purchase_order_id, p.linked_notice_id FROM po p LEFT JOIN notice n ON n.codigo_externo = p.linked_notice_id WHERE p.linked_notice_id IS NOT NULL AND n.codigo_externo IS NULL",
     # text
-    "j1_text_lengths": lambda D: " UNION ALL ".join(
-        f"SELECT '{n}' AS field, count(*) AS n, {_ratio(f'count(*) FILTER (WHERE {c} IS NULL)', 'count(*)')} AS null_share, round(avg({DBL(f'length({c})')}), 4) AS mean_length, max(length({c})) AS longest FROM {t}"
-        for n, c, t in (("notice_description", "descripcion", "notice"), ("line_description", "line_description_raw", "line"), ("order_spec", "buyer_item_spec_raw", "poline"))
-    ),
     "j2_uniqueness": lambda D: " UNION ALL ".join(
         f"SELECT '{n}' AS field, count({c}) AS n, count(DISTINCT {c}) AS n_distinct, {_ratio(f'count(DISTINCT {c})', f'count({c})')} AS uniqueness FROM {t}"
         for n, c, t in (("notice_description", "descripcion", "notice"), ("line_description", "line_description_raw", "line"), ("order_spec", "buyer_item_spec_raw", "poline"))
     ),
-    **{
-        f"j{i}_top_tokens_{name}": (lambda c, rel: lambda D: f"SELECT {D.token} AS token, count(*) AS n FROM {rel} {D.words(c)} WHERE length({D.token}) >= 3 GROUP BY {D.token} ORDER BY n DESC, token LIMIT 100")(c, rel)
-        for i, name, c, rel in ((3, "notices", "nombre", "notice"), (4, "lines", "line_description_raw", "line"), (5, "orders", "buyer_item_spec_raw", "poline"))
-    },
-    "j6_lexical_overlap": lambda D: f"""
-        SELECT purchase_order_line_id, {D.common('a', 'b')} AS shared, {D.size('a')} AS buyer_words, {D.size('b')} AS supplier_words
-        FROM (SELECT purchase_order_line_id, {D.distinct_words('buyer_item_spec_raw')} AS a, {D.distinct_words('supplier_item_spec_raw')} AS b FROM poline WHERE buyer_item_spec_raw IS NOT NULL AND supplier_item_spec_raw IS NOT NULL) g""",
-    "j7_text_density": lambda D: f"SELECT codigo_organismo AS org, count(*) AS documents, sum(n_chars) AS chars, round(avg({DBL('n_chars')}), 4) AS mean_chars FROM doc GROUP BY 1",
-    "j8_readiness": lambda D: f"""
-        SELECT category_level_1 AS category, round(avg(least(1e0, greatest(0e0, {DBL('length(line_description_raw)')} / 100))), 6) AS length_score, round(avg(CASE WHEN onu_product_code IS NULL THEN 0e0 ELSE 1e0 END), 6) AS code_score
-        FROM line GROUP BY 1""",
     # quality
     "k1_null_ratios": lambda D: " UNION ALL ".join(
         f"SELECT '{t}.{c}' AS field, round(avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END), 6) AS null_ratio FROM {t}"
         for t, c in (("notice", "codigo_unidad"), ("notice", "fecha_cierre"), ("line", "onu_product_code"), ("po", "supplier_key"), ("po", "linked_notice_id"), ("poline", "onu_product_code"), ("supplier_dim", "rut_proveedor"))
     ),
-    "k2_repeated_keys": lambda D: " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, count(*) AS repeated FROM (SELECT {k} FROM {t} GROUP BY {k} HAVING count(*) > 1) g"
-        for t, k in (("normalized_licitaciones", "codigo_externo"), ("normalized_suppliers", "supplier_key"), ("normalized_buyers", "buyer_key"), ("silver_notice_line", "notice_line_id"), ("silver_purchase_order", "purchase_order_id"), ("silver_purchase_order_line", "purchase_order_line_id"))
-    ),
     "k3_orphans": lambda D: " UNION ALL ".join(
         f"SELECT '{n}' AS relation, count(*) AS orphans FROM {c} c LEFT JOIN {p} p ON p.{pk} = c.{ck} WHERE c.{ck} IS NOT NULL AND p.{pk} IS NULL"
         for n, c, ck, p, pk in (("line-notice", "line", "notice_id", "notice", "codigo_externo"), ("order line-order", "poline", "purchase_order_id", "po", "purchase_order_id"), ("order-supplier", "po", "supplier_key", "supplier_dim", "supplier_key"), ("link-order", "link", "purchase_order_id", "po", "purchase_order_id"))
     ),
-    "k4_idle_buyers": lambda D: f"SELECT b.buyer_key FROM buyer b LEFT JOIN (SELECT DISTINCT codigo_unidad AS u FROM notice) n ON n.u = b.buyer_key LEFT JOIN (SELECT DISTINCT {UNIT('purchase_order_id')} AS u FROM po) p ON p.u = b.buyer_key WHERE n.u IS NULL AND p.u IS NULL",
-    "k5_idle_suppliers": lambda D: "SELECT s.supplier_key FROM supplier_dim s WHERE NOT EXISTS (SELECT 1 FROM po p WHERE p.supplier_key = s.supplier_key)",
-    "k6_notices_without_lines": lambda D: "SELECT n.codigo_externo FROM notice n WHERE NOT EXISTS (SELECT 1 FROM line l WHERE l.notice_id = n.codigo_externo)",
     "k7_orders_without_parties": lambda D: f"SELECT p.purchase_order_id, p.supplier_key IS NULL AS no_supplier, b.buyer_key IS NULL AS no_buyer FROM po p LEFT JOIN buyer b ON b.buyer_key = {UNIT('p.purchase_order_id')} WHERE p.supplier_key IS NULL OR b.buyer_key IS NULL",
-    "k8_odd_amounts": lambda D: "SELECT 'notice' AS entity, count(*) FILTER (WHERE monto_estimado < 0) AS negative, count(*) FILTER (WHERE monto_estimado = 0) AS zero FROM notice UNION ALL SELECT 'order' AS entity, count(*) FILTER (WHERE total_amount < 0) AS negative, count(*) FILTER (WHERE total_amount = 0) AS zero FROM po UNION ALL SELECT 'order line' AS entity, count(*) FILTER (WHERE line_net_total < 0) AS negative, count(*) FILTER (WHERE line_net_total = 0) AS zero FROM poline",
-    "k9_inconsistent_dates": lambda D: "SELECT count(*) FILTER (WHERE fecha_cierre < fecha_publicacion) AS closed_before_published, count(*) FILTER (WHERE fecha_adjudicacion < fecha_cierre) AS awarded_before_closed, (SELECT count(*) FROM po WHERE order_accepted_at < order_created_at) AS accepted_before_created FROM notice",
-    "k10_name_fragmentation": lambda D: f"SELECT supplier_key, count(DISTINCT lower(trim(nombre_proveedor))) AS spellings, {D.names('lower(trim(nombre_proveedor))')} AS names FROM normalized_suppliers WHERE nombre_proveedor IS NOT NULL GROUP BY supplier_key HAVING count(DISTINCT lower(trim(nombre_proveedor))) > 1",
     "x3_shared_vocabulary": lambda D: f"SELECT token FROM (SELECT {D.token} AS token FROM notice {D.words('nombre')} INTERSECT SELECT {D.token} AS token FROM poline {D.words('buyer_item_spec_raw')}) s WHERE length(token) >= 3",
 }
 
@@ -258,8 +170,16 @@ def _used(sql: str, names: dict | list) -> list[str]:
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a statement over the entity relations and tables that it names."""
-    frames = {n: ENTITIES[n](spark, sf_dir) for n in _used(sql, ENTITIES)} | {n: read(spark, sf_dir, n) for n in _used(sql, TABLES)}
+    """Run a statement over the entity relations and tables that it names, each with the columns whose names it holds."""
+    words = set(re.findall(r"\w+", sql))
+
+    def columns(name: str) -> list[str] | None:
+        if name not in LATEST:
+            return None
+        table, key, _ = LATEST[name]
+        return [c for c in read(spark, sf_dir, table).columns if c in words or c == key]
+
+    frames = {n: entity(spark, sf_dir, n, columns(n)) for n in _used(sql, ORACLE_ENTITIES)} | {n: read(spark, sf_dir, n) for n in _used(sql, TABLES)}
     text = sql.replace("{", "{{").replace("}", "}}")
     for n in frames:
         text = re.sub(rf"((?:FROM|JOIN)\s+){n}\b", rf"\1{{{n}}}", text)
@@ -269,7 +189,8 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def oracle(sql: str) -> str:
     used = _used(sql, ORACLE_ENTITIES)
     head = ", ".join(f"{n} AS {ORACLE_ENTITIES[n]}" for n in used)
-    return f"WITH {head} {sql}" if head else sql
+    sql = sql.strip()
+    return f"WITH {head}, {sql[5:]}" if head and sql.startswith("WITH ") else f"WITH {head} {sql}" if head else sql
 
 
 def _query(make: Callable[[type], str]) -> Callable[[SparkSession, str], DataFrame]:
