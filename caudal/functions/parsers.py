@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caudal.functions.text import normalise, utrim
 
@@ -105,12 +109,44 @@ def hashed_key(*cs: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in cs]), 256)
 
 
+def canonical_json(values: Column) -> Column:
+    """JSON of a map of texts: keys sorted, no blanks, nulls kept, letters as they are, control characters in lower-case hex."""
+    text = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values))), {"ignoreNullFields": "false"})
+    for letter in "ABCDEF":
+        text = F.regexp_replace(text, rf"(?<!\\)((?:\\\\)*)\\u00([01]){letter}", rf"$1\\u00$2{letter.lower()}")
+    return text
+
+
 def row_hash(raw: Column) -> Column:
-    """SHA-256 of a map as JSON with sorted keys, nulls kept."""
-    entries = F.array_sort(F.map_entries(raw))
-    quoted = lambda s: F.to_json(F.struct(s.alias("v")), {"ignoreNullFields": "false"})
-    text = F.array_join(F.transform(entries, lambda e: F.concat(quoted(e.key), F.lit("="), quoted(e.value))), ",")
-    return F.sha2(text, 256)
+    """SHA-256 of a map's canonical JSON."""
+    return F.sha2(canonical_json(raw), 256)
+
+
+# Parameters that are no part of a request's identity.
+SECRETS = ["ticket"]
+
+
+def request_hash(params: Column) -> Column:
+    """SHA-256 of the canonical JSON of request parameters without the secret ones, in whatever case."""
+    return row_hash(F.map_filter(params, lambda k, v: ~F.lower(k).isin(SECRETS)))
+
+
+@F.pandas_udf(T.StringType())
+def canonical_document(texts: pd.Series) -> pd.Series:
+    """JSON documents written with sorted keys and without blanks; null where a text is no JSON. Nesting has no schema, so this is an Arrow function."""
+
+    def written(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return texts.map(written)
+
+
+def payload_hash(payload: Column) -> Column:
+    """SHA-256 of a JSON document, whatever the order of its keys and its blanks."""
+    return F.sha2(canonical_document(payload), 256)
 
 
 def prefixed(*choices: tuple[str, Column]) -> Column:

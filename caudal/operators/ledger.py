@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caudal.scale import materialize
+
 
 def rolling_days(until: date, days: int = 4) -> list[date]:
     """The last ``days`` days up to ``until``, newest first."""
@@ -48,9 +50,17 @@ def fail_job(jobs: DataFrame, job: int, retryable: bool, delay_seconds: int, now
 
 
 def within_budget(requests: DataFrame, used: int, budget: int) -> DataFrame:
-    """Requests in order of ``seq`` until their cost exceeds what the day's budget leaves."""
-    spent = F.sum("cost_units").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return requests.withColumn("spent", spent).where(F.col("spent") <= budget - used).drop("spent")
+    """Requests in order of ``seq`` until their cost exceeds what the day's budget leaves.
+
+    Running sums within ranges of ``seq``, each a task, from the sums of the ranges before: no task holds all rows.
+    """
+    # Written, as the ranges must stay the same for both uses.
+    ranged = materialize(requests.repartitionByRange("seq").withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranges = ranged.groupBy("__range").agg(F.sum("cost_units").alias("s")).select("__range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("__range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    spent = F.col("start") + F.sum("cost_units").over(within)
+    return ranged.join(F.broadcast(ranges), "__range").withColumn("spent", spent).where(F.col("spent") <= budget - used).select(*requests.columns)
 
 
 def close_stale(runs: DataFrame, now: Column, hours: int) -> DataFrame:

@@ -103,11 +103,13 @@ def fill_from(rows: DataFrame, source: DataFrame, keys: list[str], columns: dict
     return joined.select(*[F.coalesce(filled(c, rows.schema[c].dataType), F.col(f"__{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
-# Names of columns that must not enter curated tables.
-FORBIDDEN_NAMES = [
+# Names of columns that must not enter curated tables, of judgements, term weights and embeddings.
+FORBIDDEN_JUDGEMENTS = [
     "opportunity_rank", "opportunity_score", "winnability_score", "convenience_score", "win_probability", "award_probability", "forecast_value", "forecast_label", "anomaly_verdict", "recommendation_score",
-    "tfidf_vector", "tfidf_values", "tfidf_matrix",
 ]
+FORBIDDEN_WEIGHTS = ["tfidf_vector", "tfidf_values", "tfidf_matrix"]
+FORBIDDEN_EMBEDDINGS = ["embedding", "embeddings", "embedding_vector", "dense_vector", "sentence_embedding"]
+FORBIDDEN_NAMES = [*FORBIDDEN_JUDGEMENTS, *FORBIDDEN_WEIGHTS, *FORBIDDEN_EMBEDDINGS]
 FORBIDDEN_SUFFIXES = ["_score", "_probability", "_forecast", "_prediction", "_rank"]
 FORBIDDEN_PREFIXES = ["future_"]
 

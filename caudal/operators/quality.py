@@ -34,10 +34,10 @@ class LoadMetrics:
 
 def load_metrics(entity: str, raw: DataFrame, accepted: DataFrame, target_before: DataFrame, keys: list[str]) -> LoadMetrics:
     """Counts of one load: rows read, accepted, distinct by key, new and already there."""
-    distinct = accepted.select(*keys).distinct()
-    n = distinct.count()
-    new = distinct.join(target_before.select(*keys), keys, "left_anti").count()
-    out = LoadMetrics(entity, raw.count(), accepted.count(), n, new, n - new)
+    known = target_before.select(*keys).distinct().withColumn("__known", F.lit(1))
+    groups = accepted.groupBy(*keys).agg(F.count("*").alias("__n")).join(known, keys, "left")
+    taken = groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("accepted"), F.count("*").alias("distinct"), F.count_if(F.col("__known").isNull()).alias("new")).first()
+    out = LoadMetrics(entity, raw.count(), taken["accepted"], taken["distinct"], taken["new"], taken["distinct"] - taken["new"])
     out.check()
     return out
 

@@ -151,7 +151,7 @@ def n1_normalise(spark: SparkSession, d: str) -> DataFrame:
     n AS (SELECT doc_id, ngram, count(*) AS n FROM g GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, ngram) AS pos FROM n)
     SELECT doc_id, CAST(pos AS INTEGER) AS pos, ngram, CAST(n AS INTEGER) AS n FROM r WHERE pos <= 24""")
 def n6_top_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    """Most frequent single words and pairs of each document; all in the JVM, no shuffle."""
+    """Most frequent single words and pairs of each document; counted in Arrow batches, no shuffle."""
     words = t.annotation_tokens(t.normalise(c("text")))
     rows = read(spark, d, "documents").select("doc_id", words.alias("w")).select("doc_id", F.posexplode(t.top_ngrams(c("w"))).alias("pos", "g"))
     return rows.select("doc_id", (c("pos") + 1).alias("pos"), "g.ngram", c("g.count").alias("n"))
@@ -183,12 +183,61 @@ def n11_line_annotations(spark: SparkSession, d: str) -> DataFrame:
     return base.select("notice_line_id", "row_hash_sha256", t.language(c("w")).alias("language"), *[c("f")[x].alias(x) for x in DOMAINS], F.get(t.tags(c("f"), DOMAINS), F.lit(0)).alias("label"), ref.alias("ref")).distinct()
 
 
+@query()
+def n11_notice_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Text annotation of notices; rows without a code have none. DuckDB lacks the compatibility form, so a test compares it with brute force."""
+    n = read(spark, d, "normalized_licitaciones").where("codigo_externo IS NOT NULL").select(c("codigo_externo").alias("notice_id"), "row_hash_sha256", t.annotation_text(c("descripcion")).alias("clean"))
+    base = n.withColumn("w", t.annotation_tokens(c("clean"))).withColumn("f", t.keyword_flags(c("w"), DOMAINS))
+    ref = t.artifact_ref("tfidf", "silver_notice", VERSION, c("notice_id"), c("clean"))
+    return base.select("notice_id", "row_hash_sha256", F.lit("notice_description").alias("scope"), t.language(c("w")).alias("language"), *[c("f")[x].alias(x) for x in DOMAINS], F.get(t.tags(c("f"), DOMAINS), F.lit(0)).alias("label"), ref.alias("ref"))
+
+
+_TWO = [_NORM.format("buyer_item_spec_raw"), _NORM.format("supplier_item_spec_raw")]
+
+
+def _side_sql(text: str) -> str:
+    j = f"array_to_string(regexp_extract_all({text}, '[a-z0-9]+')[1:128], ' ')"
+    return "CASE WHEN " + " OR ".join(f"contains({j}, '{k}')" for k in DOMAINS["health"]) + " THEN true ELSE false END"
+
+
+@query(f"""WITH b AS (SELECT purchase_order_line_id, purchase_order_id, line_item_id, row_hash_sha256, {_TWO[0]} AS x, {_TWO[1]} AS y FROM silver_purchase_order_line WHERE purchase_order_id IS NOT NULL AND line_item_id IS NOT NULL),
+    k AS (SELECT *, concat_ws(' ', nullif(x, ''), nullif(y, '')) AS t FROM b), g AS (SELECT *, array_to_string(regexp_extract_all(t, '[a-z0-9]+')[1:128], ' ') AS j, len(regexp_extract_all(t, '[a-z0-9]+')) AS n FROM k)
+    SELECT DISTINCT purchase_order_line_id, row_hash_sha256, CASE WHEN n < 2 THEN 'und' ELSE 'es' END AS language, {_side_sql('x')} AS buyer_health, {_side_sql('y')} AS supplier_health, CASE {' '.join(f"WHEN {_flag_sql(x)} THEN '{x}'" for x in DOMAINS)} END AS label,
+      'tfidf://silver_purchase_order_line/{VERSION}/' || sha256(purchase_order_id || ':' || line_item_id || '|' || t) AS ref FROM g""")
+def n11_order_line_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Text annotation of order lines, of both specifications together, with the flags of each; no key, no annotation."""
+    l = read(spark, d, "silver_purchase_order_line").where("purchase_order_id IS NOT NULL AND line_item_id IS NOT NULL")  # noqa: E741
+    l = l.select("purchase_order_line_id", "purchase_order_id", "line_item_id", "row_hash_sha256", t.annotation_text(c("buyer_item_spec_raw")).alias("x"), t.annotation_text(c("supplier_item_spec_raw")).alias("y"))  # noqa: E741
+    both = l.withColumn("clean", F.concat_ws(" ", F.nullif("x", F.lit("")), F.nullif("y", F.lit("")))).withColumn("w", t.annotation_tokens(c("clean"))).withColumn("f", t.keyword_flags(c("w"), DOMAINS))
+    sides = [t.keyword_flags(t.annotation_tokens(c(x)), DOMAINS)["health"].alias(f"{k}_health") for k, x in (("buyer", "x"), ("supplier", "y"))]
+    ref = t.artifact_ref("tfidf", "silver_purchase_order_line", VERSION, F.concat_ws(":", "purchase_order_id", "line_item_id"), c("clean"))
+    return both.select("purchase_order_line_id", "row_hash_sha256", t.language(c("w")).alias("language"), *sides, F.get(t.tags(c("f"), DOMAINS), F.lit(0)).alias("label"), ref.alias("ref")).distinct()
+
+
+_JSON = "coalesce(to_json({})::VARCHAR, 'null')".format
+
+
+@query(f"""SELECT id, sha256('{{"codigo":' || {_JSON('external_notice_code')} || ',"estado":' || {_JSON('official_status_name')} || ',"modo":' || {_JSON('source_mode')} || '}}') AS request_hash FROM mercado_publico_notice_snapshot""")
+def n13_request_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Identity of requests: canonical JSON of the parameters without the secret one."""
+    s = read(spark, d, "mercado_publico_notice_snapshot")
+    params = F.create_map(F.lit("modo"), c("source_mode"), F.lit("Ticket"), F.lit("secret"), F.lit("codigo"), c("external_notice_code"), F.lit("estado"), c("official_status_name"))
+    return s.select("id", p.request_hash(params).alias("request_hash"))
+
+
+@query(f"""SELECT source_file_id, raw_row_num, sha256('{{"raw_text":' || {_JSON('raw_text')} || ',"row":' || {_JSON('CAST(raw_row_num AS VARCHAR)')} || '}}') AS row_hash FROM reliability_gate_orden_compra""")
+def s6_row_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Row hashes of raw records: canonical JSON of the named texts."""
+    g = read(spark, d, "reliability_gate_orden_compra")
+    return g.select("source_file_id", "raw_row_num", p.row_hash(F.create_map(F.lit("row"), c("raw_row_num").cast("string"), F.lit("raw_text"), c("raw_text"))).alias("row_hash"))
+
+
 # --- merging and choosing
 
 
 @query("SELECT supplier_key, nombre_proveedor, rut_proveedor, CAST(updated_at AS TIMESTAMP) AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY supplier_key ORDER BY updated_at DESC) AS r FROM normalized_suppliers) WHERE r = 1")
 def u1_last_rows(spark: SparkSession, d: str) -> DataFrame:
-    return merge.last_rows(read(spark, d, "normalized_suppliers"), ["supplier_key"], ["updated_at"]).select("supplier_key", "nombre_proveedor", "rut_proveedor", c("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    return merge.last_rows(read(spark, d, "normalized_suppliers").select("supplier_key", "nombre_proveedor", "rut_proveedor", "updated_at"), ["supplier_key"], ["updated_at"]).select("supplier_key", "nombre_proveedor", "rut_proveedor", c("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 @query("""SELECT codigo_externo, arg_max(descripcion, updated_at) FILTER (WHERE trim(descripcion) <> '') AS descripcion, arg_max(region_unidad, updated_at) FILTER (WHERE trim(region_unidad) <> '') AS region_unidad,
@@ -233,6 +282,14 @@ def u10_reconcile_links(spark: SparkSession, d: str) -> DataFrame:
     return en.reconcile_links(po, n, link, "purchase_order_id", "linked_notice_id", "codigo_externo")
 
 
+@query("""SELECT p.linked_notice_id AS notice_id, p.purchase_order_id FROM silver_purchase_order p WHERE p.linked_notice_id IN (SELECT codigo_externo FROM normalized_licitaciones)
+    AND NOT EXISTS (SELECT 1 FROM silver_notice_purchase_order_link l WHERE l.notice_id = p.linked_notice_id AND l.purchase_order_id = p.purchase_order_id AND l.link_type = 'candidate_review')""")
+def u10_reconcile_reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that name a known notice, without a reviewed link."""
+    po, n, link = read(spark, d, "silver_purchase_order", "normalized_licitaciones", "silver_notice_purchase_order_link")
+    return en.reconcile_links(po, n, link.where("link_type = 'candidate_review'"), "purchase_order_id", "linked_notice_id", "codigo_externo")
+
+
 @query("SELECT count(*) FILTER (WHERE notice_line_id IS NULL) AS null_keys, count(*) FILTER (WHERE n > 1) AS repeated_keys, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS repeated_rows FROM (SELECT notice_line_id, count(*) AS n FROM silver_notice_line GROUP BY 1)")
 def u11_key_problems(spark: SparkSession, d: str) -> DataFrame:
     return merge.key_problems(read(spark, d, "silver_notice_line"), ["notice_line_id"])
@@ -243,12 +300,12 @@ _RANK = "CASE source_mode WHEN 'detail-by-codigo' THEN 0 WHEN 'rolling-window' T
 
 @query(f"SELECT external_notice_code, id, source_mode FROM (SELECT *, row_number() OVER (PARTITION BY external_notice_code ORDER BY {_RANK}, synced_at DESC, id DESC) AS r FROM mercado_publico_notice_snapshot) WHERE r = 1")
 def w4_latest_by_mode(spark: SparkSession, d: str) -> DataFrame:
-    return la.latest_snapshots(read(spark, d, "mercado_publico_notice_snapshot"), "external_notice_code", "source_mode", "synced_at", "id").select("external_notice_code", "id", "source_mode")
+    return la.latest_snapshots(read(spark, d, "mercado_publico_notice_snapshot"), "external_notice_code", "source_mode", "synced_at", "id", ["external_notice_code", "id", "source_mode"])
 
 
 @query("SELECT external_notice_code, id FROM (SELECT *, row_number() OVER (PARTITION BY external_notice_code ORDER BY synced_at DESC, id DESC) AS r FROM mercado_publico_notice_snapshot) WHERE r = 1")
 def w5_latest_by_time(spark: SparkSession, d: str) -> DataFrame:
-    return la.latest_snapshots(read(spark, d, "mercado_publico_notice_snapshot"), "external_notice_code", None, "synced_at", "id").select("external_notice_code", "id")
+    return la.latest_snapshots(read(spark, d, "mercado_publico_notice_snapshot"), "external_notice_code", None, "synced_at", "id", ["external_notice_code", "id"])
 
 
 @query("""SELECT n.codigo_externo, coalesce(nullif(trim(n.region_unidad), ''), 'x') = 'x' AS no_region, CAST(coalesce(n.monto_estimado, s.estimated_amount) AS DOUBLE) AS monto_estimado
@@ -257,7 +314,7 @@ def w5_latest_by_time(spark: SparkSession, d: str) -> DataFrame:
 def u12_fill_from_snapshot(spark: SparkSession, d: str) -> DataFrame:
     n, s = read(spark, d, "normalized_licitaciones", "mercado_publico_notice_snapshot")
     rows = merge.last_rows(n.select("codigo_externo", "region_unidad", "monto_estimado", "updated_at"), ["codigo_externo"], ["updated_at"])
-    snap = la.latest_snapshots(s, "external_notice_code", None, "synced_at", "id").withColumnRenamed("external_notice_code", "codigo_externo")
+    snap = la.latest_snapshots(s, "external_notice_code", None, "synced_at", "id", ["external_notice_code", "estimated_amount"]).withColumnRenamed("external_notice_code", "codigo_externo")
     out = merge.fill_from(rows, snap, ["codigo_externo"], {"monto_estimado": "estimated_amount"})
     return out.select("codigo_externo", F.coalesce(F.trim("region_unidad") == "", F.lit(True)).alias("no_region"), c("monto_estimado").cast("double").alias("monto_estimado"))
 
@@ -292,22 +349,26 @@ def r11_audit(spark: SparkSession, d: str) -> DataFrame:
 _OPEN = """WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY codigo_externo ORDER BY updated_at DESC, row_hash_sha256 DESC) AS r FROM normalized_licitaciones) WHERE r = 1),
     s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY external_notice_code ORDER BY {rank}, synced_at DESC, id DESC) AS r FROM mercado_publico_notice_snapshot) WHERE r = 1),
     k AS (SELECT notice_id, min(category_level_1) AS category, count(DISTINCT notice_line_id) AS line_count FROM silver_notice_line GROUP BY 1),
-    o AS (SELECT n.codigo_externo AS notice_id, coalesce(n.nombre, s.notice_title) AS title, coalesce(n.nombre_unidad, s.buyer_unit_name) AS unit, coalesce(n.region_unidad, '') AS region, CAST(coalesce(n.monto_estimado, s.estimated_amount) AS DOUBLE) AS amount,
-      coalesce(n.moneda_adquisicion, s.currency_code, 'CLP') AS currency, n.fecha_publicacion AS published, n.fecha_cierre AS closes, coalesce(k.category, '') AS category, coalesce(k.line_count, 0) AS line_count
+    o AS (SELECT n.codigo_externo AS notice_id, coalesce(n.nombre, s.notice_title) AS title, coalesce(n.estado, s.official_status_name) AS status, coalesce(n.nombre_unidad, s.buyer_unit_name) AS unit, coalesce(n.region_unidad, '') AS region, CAST(coalesce(n.monto_estimado, s.estimated_amount) AS DOUBLE) AS amount,
+      coalesce(n.moneda_adquisicion, s.currency_code, 'CLP') AS currency, n.fecha_publicacion AS published, n.fecha_cierre AS closes, n.flag_licitacion_publica AS public, n.flag_menos_100_utm AS small, coalesce(k.category, '') AS category, coalesce(k.line_count, 0) AS line_count,
+      s.source_mode, s.official_status_name AS snapshot_status
       FROM n LEFT JOIN s ON s.external_notice_code = n.codigo_externo LEFT JOIN k ON k.notice_id = n.codigo_externo)""".format(rank=_RANK)
 _FILTER = "WHERE (title ILIKE '%servicio%' OR unit ILIKE '%servicio%') AND published >= TIMESTAMP '2025-09-01' AND published < TIMESTAMP '2026-03-01' AND amount >= 100000"
+_SHOWN = "notice_id, title, unit, region, amount, currency, published, closes, category, line_count"
 
 
 def opportunities(spark: SparkSession, d: str) -> DataFrame:
     """Notices with what is shown of them, from tender, latest snapshot and lines; one join a side, one row a notice."""
     n, s, line = read(spark, d, "normalized_licitaciones", "mercado_publico_notice_snapshot", "silver_notice_line")
-    n = la.latest(n, ["codigo_externo"], [c("updated_at"), c("row_hash_sha256")])
-    s = la.latest_snapshots(s, "external_notice_code", "source_mode", "synced_at", "id").select(c("external_notice_code").alias("codigo_externo"), "notice_title", "buyer_unit_name", "estimated_amount", "currency_code")
+    own = ["codigo_externo", "nombre", "estado", "nombre_unidad", "region_unidad", "monto_estimado", "moneda_adquisicion", "fecha_publicacion", "fecha_cierre", "flag_licitacion_publica", "flag_menos_100_utm"]
+    n = la.latest(n, ["codigo_externo"], [c("updated_at"), c("row_hash_sha256")], own)
+    seen = ["external_notice_code", "notice_title", "buyer_unit_name", "estimated_amount", "currency_code", "source_mode", "official_status_name"]
+    s = la.latest_snapshots(s, "external_notice_code", "source_mode", "synced_at", "id", seen).withColumnRenamed("external_notice_code", "codigo_externo")
     k = line.groupBy(c("notice_id").alias("codigo_externo")).agg(F.min("category_level_1").alias("category"), F.count_distinct("notice_line_id").alias("line_count"))
     return n.join(s, "codigo_externo", "left").join(k, "codigo_externo", "left").select(
-        c("codigo_externo").alias("notice_id"), F.coalesce("nombre", "notice_title").alias("title"), F.coalesce("nombre_unidad", "buyer_unit_name").alias("unit"), F.coalesce("region_unidad", F.lit("")).alias("region"),
+        c("codigo_externo").alias("notice_id"), F.coalesce("nombre", "notice_title").alias("title"), F.coalesce("estado", "official_status_name").alias("status"), F.coalesce("nombre_unidad", "buyer_unit_name").alias("unit"), F.coalesce("region_unidad", F.lit("")).alias("region"),
         F.coalesce("monto_estimado", "estimated_amount").cast("double").alias("amount"), F.coalesce("moneda_adquisicion", "currency_code", F.lit("CLP")).alias("currency"), c("fecha_publicacion").alias("published"), c("fecha_cierre").alias("closes"),
-        F.coalesce("category", F.lit("")).alias("category"), F.coalesce("line_count", F.lit(0)).alias("line_count"),
+        c("flag_licitacion_publica").alias("public"), c("flag_menos_100_utm").alias("small"), F.coalesce("category", F.lit("")).alias("category"), F.coalesce("line_count", F.lit(0)).alias("line_count"), "source_mode", c("official_status_name").alias("snapshot_status"),
     )
 
 
@@ -315,10 +376,35 @@ def _found(spark: SparkSession, d: str) -> DataFrame:
     return la.search(opportunities(spark, d), contains={"q": (["title", "unit"], "servicio"), "buyer": (["unit"], None)}, equal={"region": None}, ranges={"amount": (100000, None)}, days={"published": ("2025-09-01", "2026-02-28")})
 
 
-@query(f"{_OPEN} SELECT * FROM o {_FILTER} ORDER BY amount DESC NULLS LAST, notice_id LIMIT 20 OFFSET 20")
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(*_SHOWN.split(", "))
+
+
+@query(f"{_OPEN} SELECT {_SHOWN} FROM o {_FILTER} ORDER BY amount DESC NULLS LAST, notice_id LIMIT 20 OFFSET 20")
 def r1_list(spark: SparkSession, d: str) -> DataFrame:
     """Second page of the notices that a search finds, by amount."""
-    return la.page(_found(spark, d), "amount", True, ["notice_id"], 2, 20)
+    return la.page(_shown(_found(spark, d)), "amount", True, ["notice_id"], 2, 20)
+
+
+@query(f"""{_OPEN} SELECT {_SHOWN} FROM o WHERE (notice_id ILIKE '%25%' OR title ILIKE '%25%') AND status ILIKE 'cerrada' AND region ILIKE '%regi%' AND category ILIKE '%a%' AND published >= TIMESTAMP '2025-01-01' AND published < TIMESTAMP '2027-01-01'
+    AND closes >= TIMESTAMP '2025-01-01' AND closes < TIMESTAMP '2027-01-01' AND amount BETWEEN 1000 AND 1e15 AND small IS NOT NULL AND NOT small AND public ORDER BY closes ASC NULLS LAST, notice_id LIMIT 20""")
+def r1_every_filter(spark: SparkSession, d: str) -> DataFrame:
+    """First page of a search by text, status, region, category, both dates, amounts, size and kind at once."""
+    found = la.search(
+        opportunities(spark, d), contains={"q": (["notice_id", "title"], "25"), "region": (["region"], "regi"), "category": (["category"], "a")}, equal={"small": False, "public": True},
+        ranges={"amount": (1000, 1e15)}, days={"published": ("2025-01-01", "2026-12-31"), "closes": ("2025-01-01", "2026-12-31")},
+    ).where(c("status").ilike("cerrada"))
+    return la.page(_shown(found), "closes", False, ["notice_id"], 1, 20)
+
+
+SORTS = [(by, down) for by in ("closes", "published", "amount") for down in (False, True)]
+
+
+@query(f"{_OPEN} " + " UNION ALL ".join(f"SELECT '{by}' AS by, {str(down).lower()} AS descending, notice_id FROM (SELECT notice_id FROM o ORDER BY {by} {'DESC' if down else 'ASC'} NULLS LAST, notice_id LIMIT 10) q{i}" for i, (by, down) in enumerate(SORTS)))
+def r1_sort_keys(spark: SparkSession, d: str) -> DataFrame:
+    """First ten notices by each key and direction; days that remain sort as the closing date does."""
+    o = opportunities(spark, d).select("notice_id", "closes", "published", "amount")
+    return reduce(DataFrame.unionByName, [la.page(o, by, down, ["notice_id"], 1, 10).select(F.lit(by).alias("by"), F.lit(down).alias("descending"), "notice_id") for by, down in SORTS])
 
 
 @query(f"{_OPEN} SELECT count(*) AS n FROM o {_FILTER}")
@@ -326,15 +412,42 @@ def r2_count(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d).agg(F.count("*").alias("n"))
 
 
-@query(f"{_OPEN} SELECT count(*) AS n, count(*) FILTER (WHERE amount IS NOT NULL) AS with_amount, round(avg(amount) FILTER (WHERE amount > 0), 2) AS mean_amount, round(sum(amount), 0) AS total, count(*) FILTER (WHERE closes IS NULL) AS no_close, count(*) FILTER (WHERE line_count > 1) AS several_lines, count(DISTINCT unit) AS units FROM o")
+_AT = "2026-01-15"
+
+
+@query(f"""{_OPEN}, m AS (SELECT *, closes - TIMESTAMP '{_AT}' AS left_, lower(coalesce(status, '')) AS st FROM o) SELECT count(*) AS n, count(amount) AS with_amount, round(coalesce(avg(amount), 0), 2) AS mean_amount, round(coalesce(sum(amount), 0), 0) AS total, count(*) FILTER (WHERE closes IS NULL) AS no_close,
+    count(*) FILTER (WHERE left_ > INTERVAL 7 DAY) AS closes_later, count(*) FILTER (WHERE left_ > INTERVAL 0 DAY AND left_ <= INTERVAL 7 DAY) AS closes_soon, count(*) FILTER (WHERE left_ <= INTERVAL 0 DAY AND st NOT LIKE '%adjudicada%' AND st NOT LIKE '%revocada%' AND st NOT LIKE '%suspendida%') AS closed,
+    count(*) FILTER (WHERE st LIKE '%adjudicada%') AS awarded, count(*) FILTER (WHERE st LIKE '%revocada%' OR st LIKE '%suspendida%') AS withdrawn, count(*) FILTER (WHERE st = 'publicada') AS published_now, count(*) FILTER (WHERE source_mode = 'detail-by-codigo') AS with_detail,
+    count(*) FILTER (WHERE source_mode IS NOT NULL) AS in_snapshots, count(*) FILTER (WHERE line_count > 1) AS several_lines, count(DISTINCT unit) AS units FROM m""")
 def r3_summary(spark: SparkSession, d: str) -> DataFrame:
-    a = c("amount")
+    """Counts of all notices by closing (against a given moment), status and source, and their amounts: one aggregate."""
+    a, late, soon = c("amount"), F.lit(_AT).cast("timestamp_ntz") + F.expr("interval 7 days"), F.lit(_AT).cast("timestamp_ntz")
+    st = F.lower(F.coalesce("status", F.lit("")))
+    tests = {
+        "no_close": c("closes").isNull(), "closes_later": c("closes") > late, "closes_soon": (c("closes") > soon) & (c("closes") <= late), "closed": (c("closes") <= soon) & ~st.rlike("adjudicada|revocada|suspendida"), "awarded": st.contains("adjudicada"),
+        "withdrawn": st.rlike("revocada|suspendida"), "published_now": st == "publicada", "with_detail": c("source_mode") == "detail-by-codigo", "in_snapshots": c("source_mode").isNotNull(), "several_lines": c("line_count") > 1,
+    }
     return opportunities(spark, d).agg(
-        F.count("*").alias("n"), F.count("amount").alias("with_amount"), F.round(F.avg(F.when(a > 0, a)), 2).alias("mean_amount"), F.round(F.sum("amount"), 0).alias("total"),
-        F.count_if(c("closes").isNull()).alias("no_close"), F.count_if(c("line_count") > 1).alias("several_lines"), F.count_distinct("unit").alias("units"),
+        F.count("*").alias("n"), F.count("amount").alias("with_amount"), F.round(F.coalesce(F.avg(a), F.lit(0.0)), 2).alias("mean_amount"), F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 0).alias("total"),
+        *[F.count_if(t).alias(k) for k, t in tests.items()], F.count_distinct("unit").alias("units"),
     )
 
 
+@query("""SELECT b.l_orderkey AS notice_id, b.l_suppkey AS supplier, b.l_linenumber AS bid, s.s_name AS supplier_name, coalesce(o.item, b.item) AS item, CAST(coalesce(o.amount, b.l_extendedprice) AS DOUBLE) AS amount, o.amount IS NOT NULL AS has_offer
+    FROM (SELECT *, CASE WHEN l_partkey % 5 <> 0 THEN l_partkey END AS item FROM lineitem) b
+    LEFT JOIN (SELECT l_orderkey, l_suppkey, CASE WHEN l_partkey % 5 <> 0 THEN l_partkey END AS item, l_extendedprice * (1 - l_discount) AS amount FROM lineitem WHERE l_returnflag = 'R') o
+      ON o.l_orderkey = b.l_orderkey AND o.l_suppkey = b.l_suppkey AND (o.item = b.item OR o.item IS NULL AND b.item IS NULL) LEFT JOIN supplier s ON s.s_suppkey = b.l_suppkey""")
+def r6_detail_offers(spark: SparkSession, d: str) -> DataFrame:
+    """Bids with the offers of their notice, supplier and item (an unknown item matches an unknown one) and the supplier's name."""
+    l, s = read(spark, d, "lineitem", "supplier")  # noqa: E741
+    item = F.when(c("l_partkey") % 5 != 0, c("l_partkey"))
+    bids = l.select(c("l_orderkey").alias("notice_id"), c("l_suppkey").alias("supplier"), c("l_linenumber").alias("bid"), item.alias("bid_item"), "l_extendedprice")
+    offers = l.where("l_returnflag = 'R'").select(c("l_orderkey").alias("on"), c("l_suppkey").alias("os"), item.alias("offer_item"), (c("l_extendedprice") * (1 - c("l_discount"))).alias("offered"))
+    both = bids.join(offers, (c("notice_id") == c("on")) & (c("supplier") == c("os")) & c("bid_item").eqNullSafe(c("offer_item")), "left")
+    named = both.join(s.select(c("s_suppkey").alias("supplier"), c("s_name").alias("supplier_name")), "supplier", "left")
+    return named.select("notice_id", "supplier", "bid", "supplier_name", F.coalesce("offer_item", "bid_item").alias("item"), F.coalesce("offered", "l_extendedprice").cast("double").alias("amount"), c("offered").isNotNull().alias("has_offer"))
+
+
 @query("""SELECT l.notice_id, l.notice_line_id, l.onu_product_code, coalesce(p.n, 0) AS order_lines, CASE WHEN p.n > 0 AND m.k > 1 THEN 'low' WHEN p.n > 0 THEN 'medium' ELSE 'none' END AS certainty
     FROM (SELECT DISTINCT notice_id, notice_line_id, onu_product_code FROM silver_notice_line) l
     LEFT JOIN (SELECT linked_notice_id, onu_product_code, count(DISTINCT purchase_order_line_id) AS n FROM silver_purchase_order_line WHERE linked_notice_id IS NOT NULL GROUP BY 1, 2) p ON p.linked_notice_id = l.notice_id AND p.onu_product_code = l.onu_product_code
@@ -413,11 +526,11 @@ def l5_claim_job(spark: SparkSession, d: str) -> DataFrame:
     return ledger.claim_next(ledger.promote_retries(_jobs(spark, d), now), now, "w1").select("id", "status", "attempts", "worker")
 
 
-@query(f"SELECT event_id AS id, CASE WHEN event_id % 4 < 3 THEN 'retry' ELSE 'dead' END AS status FROM events WHERE event_id IN (11, 22)")
+@query("SELECT event_id AS id, CASE WHEN event_id IN (11, 22) THEN CASE WHEN event_id % 4 < 3 THEN 'retry' ELSE 'dead' END WHEN event_id % 5 = 0 THEN 'retry' WHEN event_id % 7 = 0 THEN 'running' ELSE 'available' END AS status FROM events")
 def l6_fail_jobs(spark: SparkSession, d: str) -> DataFrame:
     now = F.lit(_NOW).cast("timestamp_ntz")
     jobs = reduce(lambda j, i: ledger.fail_job(j, i, True, 60, now), (11, 22), _jobs(spark, d))
-    return jobs.where("id IN (11, 22)").select("id", "status")
+    return jobs.select("id", "status")
 
 
 @query("""SELECT code FROM (SELECT external_notice_code AS code, max(close_date) AS close_date, max(CAST(synced_at AS DATE)) FILTER (WHERE source_mode = 'detail-by-codigo') AS detail_date FROM mercado_publico_notice_snapshot GROUP BY 1)
@@ -435,23 +548,21 @@ def l3_stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The latest snapshot of each notice kept by a stream over the arriving files; equals the batch choice."""
     import uuid
 
-    from caudal.streaming.snapshots import VersionedTable, merge_latest
+    from caudal.streaming.snapshots import BucketedTable, merge_latest
 
     path = f"{d}/mercado_publico_notice_snapshot.parquet"
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/mercado_publico_notice_snapshot.parque[t]")
     at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    table = VersionedTable(spark, f"{at}/table")
+    table = BucketedTable(spark, f"{at}/table")
     merge_latest(stream, table, "external_notice_code", "source_mode", "synced_at", "id", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return table.read().select("external_notice_code", "id", "source_mode")
 
 
-@query(f"{_OPEN} SELECT o.*, s.source_mode, s.official_status_name AS snapshot_status FROM o LEFT JOIN s ON s.external_notice_code = o.notice_id WHERE o.notice_id LIKE '%-LP26'")
+@query(f"{_OPEN} SELECT {_SHOWN}, status, source_mode, snapshot_status FROM o")
 def r4_detail_header(spark: SparkSession, d: str) -> DataFrame:
-    """Header of each notice of one kind with the source of its latest snapshot."""
-    s = la.latest_snapshots(read(spark, d, "mercado_publico_notice_snapshot"), "external_notice_code", "source_mode", "synced_at", "id")
-    side = s.select(c("external_notice_code").alias("notice_id"), "source_mode", c("official_status_name").alias("snapshot_status"))
-    return opportunities(spark, d).where(c("notice_id").like("%-LP26")).join(side, "notice_id", "left")
+    """Header of every notice with the source of its latest snapshot."""
+    return opportunities(spark, d).select(*_SHOWN.split(", "), "status", "source_mode", "snapshot_status")
 
 
 @query("""SELECT linked_notice_id AS notice_id, purchase_order_id, purchase_order_status_name, order_created_at, CAST(total_amount AS DOUBLE) AS total_amount,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -27,6 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="caudal-")
+    delete_at_exit(spark, f"file://{folder}")
     spark.sparkContext.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()
 
@@ -42,23 +43,22 @@ def cleanup(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-@atexit.register
-def _at_exit() -> None:
-    with contextlib.suppress(Exception):
-        spark = SparkSession.getActiveSession() if _written else None
-        if spark is not None:
-            cleanup(spark)
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the driver's JVM ends, with or without a session by then."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table into the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()``, but columnar, so later readers prune columns. The files
-    outlive lost executors.
+    outlive lost executors; they are deleted when the driver ends, or by ``cleanup``.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -85,7 +85,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="caudal-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="caudal-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))

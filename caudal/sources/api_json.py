@@ -88,12 +88,13 @@ def items(notices: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def source_identity(payloads: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the sorted distinct payload hashes, the identity of the set.
+    """One row: SHA-256 of the number of distinct payload hashes and the sum of their 60-bit pieces, the identity of the set.
 
-    The hashes are first reduced to one per leading byte pair, so no task holds all of them.
+    The sums are exact and merge in any order, so no task holds the hashes.
     """
-    part = payloads.select(F.substring("payload_sha256", 1, 4).alias("g"), "payload_sha256").distinct().groupBy("g").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("payload_sha256")), ","), 256).alias("h"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "h"))), lambda s: s.h), ","), 256).alias("source_identity"))
+    piece = [F.conv(F.substring("payload_sha256", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    total = payloads.select("payload_sha256").distinct().agg(F.count("payload_sha256").alias("n"), *[F.coalesce(F.sum(x), F.lit(0)).cast("string").alias(f"s{i}") for i, x in enumerate(piece)])
+    return total.select(F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("source_identity"))
 
 
 def trimmed_or_null(c: Column) -> Column:

@@ -43,16 +43,34 @@ def discover(root: str) -> list[tuple[str, str]]:
     return out
 
 
+def still_open(line: str, inside: bool, sep: str = ";", quote: str = '"') -> bool:
+    """Whether a quoted field is open after ``line``, if one was (``inside``) before it."""
+    at, n = 0, len(line.rstrip("\r\n"))
+    while True:
+        if inside or line.startswith(quote, at):
+            close = line.find(quote, at if inside else at + 1)
+            while close >= 0 and line.startswith(quote, close + 1):
+                close = line.find(quote, close + 2)
+            if close < 0:
+                return True
+            inside, at = False, close + 1
+        at = line.find(sep, at, n)
+        if at < 0:
+            return False
+        at += 1
+
+
 def records(text: str, quote: str = '"') -> Iterator[str]:
-    """Records of a CSV text; line ends inside quoted fields belong to the record."""
-    held = ""
+    """Records of a CSV text; line ends inside quoted fields belong to the record. One pass: each line is looked at once."""
+    held, inside = [], False
     for line in text.splitlines(keepends=True):
-        held += line
-        if split_record(held)[1] != "quote_not_closed":
-            yield held
-            held = ""
+        held.append(line)
+        inside = still_open(line, inside, quote=quote)
+        if not inside:
+            yield "".join(held)
+            held = []
     if held:
-        yield held
+        yield "".join(held)
 
 
 def _rows(batches: Iterator[pd.DataFrame], aliases: dict[str, str]) -> Iterator[pd.DataFrame]:

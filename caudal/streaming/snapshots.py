@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -41,16 +39,62 @@ class VersionedTable:
         return n
 
 
+class BucketedTable(VersionedTable):
+    """A versioned table in buckets of a key's hash: a version holds only the buckets that changed.
+
+    A bucket is read from the newest complete version that has it; the one before stays for readers that
+    are under way.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        super().__init__(spark, path)
+        self.buckets = buckets
+
+    def _held(self) -> dict[int, list[int]]:
+        """Versions of each bucket, oldest first."""
+        held: dict[int, list[int]] = {}
+        for v in self.versions():
+            for s in self._fs.listStatus(self._p(f"{self.path}/v{v}")):
+                name = s.getPath().getName()
+                if name.startswith("bucket="):
+                    held.setdefault(int(name[7:]), []).append(v)
+        return held
+
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def read(self, only: list[int] | None = None) -> DataFrame | None:
+        paths = [f"{self.path}/v{vs[-1]}/bucket={b}" for b, vs in sorted(self._held().items()) if only is None or b in only]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def write(self, df: DataFrame, keep: int = 2) -> int:
+        """Write rows with their ``bucket`` as the next version of those buckets."""
+        found = self.versions()
+        n = (found[-1] if found else 0) + 1
+        df.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{n}")
+        for b, vs in self._held().items():
+            for old in vs[:-keep]:
+                self._fs.delete(self._p(f"{self.path}/v{old}/bucket={b}"), True)
+        return n
+
+
 def merge_latest(stream: DataFrame, table: VersionedTable, key: str, mode: str | None, synced: str, unique: str, checkpoint: str) -> DataStreamWriter:
     """Keep the latest snapshot of each key over all arrivals; replayed batches change nothing.
 
-    The result equals the batch choice over everything that arrived, whatever the batches were.
+    The result equals the batch choice over everything that arrived, whatever the batches were. Of a
+    ``BucketedTable`` only the buckets with arrivals are read and written again.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
-        stored = table.read()
-        everything = batch if stored is None else stored.unionByName(batch)
-        table.write(latest_snapshots(everything, key, mode, synced, unique))
+        if not isinstance(table, BucketedTable):
+            stored = table.read()
+            table.write(latest_snapshots(batch if stored is None else stored.unionByName(batch), key, mode, synced, unique))
+            return
+        touched = [r["b"] for r in batch.select(table.bucket(key).alias("b")).distinct().collect()]  # at most the buckets
+        if touched:
+            stored = table.read(touched)
+            newest = latest_snapshots(batch if stored is None else stored.unionByName(batch), key, mode, synced, unique)
+            table.write(newest.withColumn("bucket", table.bucket(key)))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
@@ -67,4 +111,4 @@ def windowed_counts(stream: DataFrame, event_time: str, width: str, delay: str,
 
 def read_new_files(spark: SparkSession, path: str, schema: str, per_batch: int = 100) -> DataFrame:
     """Stream of Parquet files as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(str(Path(path)))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)

@@ -294,3 +294,65 @@ def test_json_lines_and_export(spark, tmp_path):
     text = next((tmp_path / "e").glob("part-*")).read_bytes().decode()
     assert text == '"k";"n";"t"\r\n"a";"1";"x ""y""; z"\r\n"b";"";""\r\n"c";"3";"\'=1+1"\r\n'
     assert ledger.newest(df, "n", "k", most=2, t=None).count() == 2
+
+
+def test_canonical_hashes(spark):
+    """The bytes are those of sorted JSON without blanks, as any JSON writer gives them."""
+    import hashlib
+    import json
+
+    odd = {"b": 'say "x" \\ / \u000b \u001f \t ñ €', "a": None, "Z": "", "k": "\\u000B", "Ticket": "s"}
+    digest = lambda m: hashlib.sha256(json.dumps(m, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    df = spark.createDataFrame([(odd,), ({},)], "m map<string,string>")
+    got = [(r[0], r[1]) for r in df.select(p.row_hash(F.col("m")), p.request_hash(F.col("m"))).collect()]
+    assert got == [(digest(odd), digest({k: v for k, v in odd.items() if k != "Ticket"})), (digest({}), digest({}))]
+    docs = spark.createDataFrame([('{"b": [1, {"y": null, "x": 2.5}],\n "a": "ñ"}',), ("no json",), (None,)], "t string")
+    want = hashlib.sha256('{"a":"ñ","b":[1,{"x":2.5,"y":null}]}'.encode()).hexdigest()
+    assert [r[0] for r in docs.select(p.payload_hash(F.col("t"))).collect()] == [want, None, None]
+
+
+def test_records_in_linear_time():
+    import time
+
+    text = '"never closed;x\n' + "a;b;c\n" * 200_000
+    began = time.time()
+    assert list(raw_csv.records(text)) == [text]
+    assert list(raw_csv.records('a;"b\nc";d\r\n"x""";y\n"p"q;"r\ns";t\nu;v"w')) == ['a;"b\nc";d\r\n', '"x""";y\n', '"p"q;"r\ns";t\n', 'u;v"w']
+    assert time.time() - began < 5
+
+
+def test_budget_over_many_ranges(spark):
+    df = spark.range(1000).select(F.col("id").alias("seq"), F.lit(2).alias("cost_units"), F.lit("x").alias("note")).repartition(7)
+    got = sorted(r["seq"] for r in ledger.within_budget(df, 11, 500).collect())
+    assert got == list(range(244))
+    assert ledger.within_budget(df.limit(0), 0, 5).count() == 0
+
+
+def test_bucketed_stream_rewrites_only_touched_buckets(spark, tmp_path):
+    from caudal.streaming.snapshots import BucketedTable
+
+    cols = "k string, m string, t int, id int"
+    table = BucketedTable(spark, str(tmp_path / "t"), 8)
+    for i, rows in enumerate([[("a", "x", 1, 1), ("b", "x", 1, 2), ("c", "x", 5, 3)], [("a", "x", 2, 4)], [("a", "x", 1, 5)]]):
+        spark.createDataFrame(rows, cols).write.parquet(str(tmp_path / "in" / f"f{i}"))
+        stream = spark.readStream.schema(cols).parquet(str(tmp_path / "in" / "*"))
+        merge_latest(stream, table, "k", None, "t", "id", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r["k"], r["id"]) for r in table.read().collect()) == [("a", 4), ("b", 2), ("c", 3)]
+    touched = {d.name for d in (tmp_path / "t" / f"v{table.versions()[-1]}").iterdir() if d.name.startswith("bucket=")}
+    assert len(touched) == 1
+
+
+def test_notice_annotations(spark, tmp_path):
+    """Against the text's compatibility form taken in Python."""
+    import hashlib
+    import unicodedata
+
+    from caudal.plans.operator_queries import VERSION, n11_notice_annotations
+
+    rows = [("n1", "h", "Obra de Construcción № ①  ﬁnal"), ("n2", "h", None), ("n3", "h", ""), (None, "h", "obra")]
+    spark.createDataFrame(rows, "codigo_externo string, row_hash_sha256 string, descripcion string").write.parquet(f"{tmp_path}/normalized_licitaciones.parquet")
+    got = {r["notice_id"]: r for r in n11_notice_annotations(spark, str(tmp_path)).collect()}
+    folded = "".join(x for x in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", rows[0][2]).lower()) if not unicodedata.combining(x))
+    clean = " ".join(folded.split())
+    assert set(got) == {"n1", "n2", "n3"} and got["n1"]["label"] == "construction" and got["n2"]["language"] == "und"
+    assert got["n1"]["ref"] == f"tfidf://silver_notice/{VERSION}/" + hashlib.sha256(f"n1|{clean}".encode()).hexdigest()
