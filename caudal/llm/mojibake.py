@@ -301,10 +301,12 @@ def garbled(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
         return sure
     asked = materialize(open_.select(F.explode("doubtful").alias("mask")).distinct())
     words = df.select(F.explode(F.array(*[F.col(f"`{f}`") for f in fields])).alias("text")).where("text IS NOT NULL")
-    words = words.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
-    ends = [F.struct(_masked(F.col("word")).alias("mask"), F.when(F.col("word").rlike(r"[^\x00-\x7F]"), F.col("n")).otherwise(F.lit(0)).alias("fit"), F.lit(0).cast("long").alias("bare"))]
-    ends.append(F.struct(F.concat(_masked(F.col("word")), F.lit("?")).alias("mask"), F.lit(0).cast("long").alias("fit"), F.col("n").alias("bare")))
-    held = words.select(F.explode(F.array(*ends)).alias("e")).select("e.*").join(broadcast_if_small(asked), "mask", "left_semi").groupBy("mask").agg(F.sum("fit").alias("fit"), F.sum("bare").alias("bare"))
+    words = words.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("word")).select(F.lower("word").alias("word"))
+    beyond = F.col("word").rlike(r"[^\x00-\x7F]")
+    mask = F.when(beyond, _masked(F.col("word"))).otherwise(F.col("word"))
+    whole, cut = F.struct(mask.alias("mask"), F.lit(1).alias("fit")), F.struct(F.concat(mask, F.lit("?")).alias("mask"), F.lit(0).alias("fit"))
+    keys = words.select(F.explode(F.when(beyond, F.array(whole, cut)).otherwise(F.array(cut))).alias("e")).select("e.*")
+    held = keys.join(broadcast_if_small(asked), "mask", "left_semi").groupBy("mask").agg(F.sum("fit").alias("fit"), F.sum(1 - F.col("fit")).alias("bare"))
     fitting = broadcast_if_small(materialize(held.where("fit > 0 AND fit >= bare").select("mask")))
     judged = open_.select("damaged", F.explode("doubtful").alias("mask")).distinct().join(fitting, "mask", "left_semi").select("damaged").distinct()
     rows = open_.join(judged, "damaged", "left_semi").select(*sure.columns)
