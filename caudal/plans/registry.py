@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caudal.plans import core_queries, eda, operator_queries, pack
+from caudal.plans import core_queries, eda, lane_queries, operator_queries, pack
 
-MODULES = [core_queries, eda, pack, operator_queries]
+MODULES = [core_queries, eda, pack, operator_queries, lane_queries]
 
 
 def queries() -> dict:
