@@ -237,7 +237,7 @@ def repair(text: str | None) -> tuple[int, int, str | None]:
         for s, e, key in spans:
             if e - s == 1:
                 seen = seen[:s] + next(iter(singles()[key].values())) + seen[e:]
-    if any(text[s - 1 : s].islower() and text[s] in "ÃÂ" and not taken[s] for s in range(1, len(text))):
+    if "Ã" in text or "Â" in text:
         for s in range(1, len(text)):
             if text[s] in "ÃÂ" and text[s - 1].islower() and not taken[s]:
                 taken[s] = 1

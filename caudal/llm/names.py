@@ -78,21 +78,59 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
+@lru_cache(maxsize=200_000)
+def _letters(word: str) -> int:
+    """The set of letters of a word as bits."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
 def edits(a: str, b: str, most: int) -> int:
-    """Edits (with swaps of neighbours) that turn a into b, or most + 1 if more."""
-    if abs(len(a) - len(b)) > most:
+    """Edits (with swaps of neighbours) that turn a into b, or most + 1 if more.
+
+    One edit changes at most two letters of the set of letters, so most pairs need no table. What both begin
+    and end with is left out, and of the table only the cells within ``most`` of the diagonal are filled.
+    """
+    if a == b:
+        return 0
+    la, lb = len(a), len(b)
+    if abs(la - lb) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+    start = 0
+    while start < la and start < lb and a[start] == b[start]:
+        start += 1
+    while la > start and lb > start and a[la - 1] == b[lb - 1]:
+        la -= 1
+        lb -= 1
+    a, b, la, lb = a[start:la], b[start:lb], la - start, lb - start
+    if not la or not lb:
+        return la + lb
+    far = most + 1
+    older, before = [far] * (lb + 1), [j if j <= most else far for j in range(lb + 1)]
+    for i in range(1, la + 1):
+        x, lo, hi = a[i - 1], max(1, i - most), min(lb, i + most)
+        row = [far] * (lb + 1)
+        if i <= most:
+            row[0] = i
+        least = row[0]
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
+            d = before[j - 1] + (x != y)
+            if before[j] + 1 < d:
+                d = before[j] + 1
+            if row[j - 1] + 1 < d:
+                d = row[j - 1] + 1
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and older[j - 2] + 1 < d:
+                d = older[j - 2] + 1
+            row[j] = d
+            if d < least:
+                least = d
+        if least > most:
+            return far
+        older, before = before, row
+    return min(before[lb], far)
 
 
 # Letters that Spanish speakers hear alike.
@@ -150,6 +188,18 @@ def _canonical(word: str, units: bool) -> str | None:
     return None
 
 
+@lru_cache(maxsize=200_000)
+def _form(word: str) -> bool:
+    """Whether a word is one of a legal form, as it is or mistyped."""
+    return word in FORMS or len(word) >= 6 and any(edits(word, f, 2) <= 2 for f in ("limitada", "hermanos", "compania"))
+
+
+@lru_cache(maxsize=100_000)
+def _near_given(word: str) -> str | None:
+    """The given name that a word misspells by one letter."""
+    return next((g for g in sorted(GIVEN) if word[0] == g[0] and edits(word, g, 1) <= 1), None) if len(word) >= 4 else None
+
+
 @lru_cache(maxsize=100_000)
 def _misspelt_nickname(word: str) -> str | None:
     """The given name of a nickname with one doubled or missing letter."""
@@ -169,7 +219,7 @@ def parse(text: str | None, units: bool = False) -> Name | None:
     words = words_of(re.sub(r"(?<=[a-zñáéíóúü])(?=[A-ZÑÁÉÍÓÚÜ][a-zñáéíóúü])", " ", text))
     core, given, initials, kind, suffix = [], [], [], set(), ""
     for w in words:
-        if w in FORMS or (len(w) >= 6 and any(edits(w, f, 2) <= 2 for f in ("limitada", "hermanos", "compania"))) or w is words[-1] and len(w) > 2 and any(edits(w, f, 1) <= 1 for f in ENDINGS):
+        if _form(w) or w is words[-1] and len(w) > 2 and any(edits(w, f, 1) <= 1 for f in ENDINGS):
             continue
         k = _canonical(w, units)
         if units and (w in SUFFIXES or len(w) >= 5 and any(edits(w, s, 1) <= 1 for s in SUFFIXES)):
@@ -191,7 +241,7 @@ def parse(text: str | None, units: bool = False) -> Name | None:
         if not kind - {"servicios"}:
             rest = []
             for w in core:
-                near = next((g for g in GIVEN if len(w) >= 4 and w[0] == g[0] and edits(w, g, 1) <= 1), None) if len(core) > 1 else None
+                near = _near_given(w) if len(core) > 1 else None
                 if near and len(given) < 2 and len(core) - len(rest) > 1 and not (given and len(core) <= 2):
                     given.append(near)
                 else:

@@ -42,6 +42,18 @@ def test_different_names(a, b):
     assert similarity(parse(a), parse(b)) < variants.ACCEPT
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.text("abcñ", max_size=9), st.text("abcñ", max_size=9), st.integers(0, 4))
+def test_edits_against_the_whole_table(a, b, most):
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    assert edits(a, b, most) == min(d[-1][-1], most + 1)
+
+
 def test_links(spark, monkeypatch):
     monkeypatch.setattr(variants, "HOT_PAIRS", 3)
     rows = [
