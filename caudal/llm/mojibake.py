@@ -266,8 +266,11 @@ def repair(text: str | None) -> tuple[int, int, str | None]:
         options = sequences().get(key) or singles().get(key)
         out.append(text[at:s])
         if options:
-            if key in BETWEEN and text[s - 1 : s].isupper() and text[e : e + 1].isupper():  # a capital among capitals
+            left, right = text[s - 1 : s], text[e : e + 1]
+            if e - s == 1 and left.isupper() and (right.isupper() or not right.isalpha()):  # a capital among capitals
                 options = {k: v for k, v in options.items() if v.isupper()} or options
+            elif e - s == 1 and left.islower():
+                options = {k: v for k, v in options.items() if v.islower()} or options
             pair = max(options, key=lambda k: votes[k])
             out.append(options[pair])
         else:
