@@ -42,6 +42,37 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_rejects(spark, d).select("dataset", "source_file_id", "raw_row_num").distinct()
 
 
+# SQL templates with @ for the value. Separators and quotes as the problem states them.
+_FIELD = '(?:"(?:[^"]|"")*"|[^";][^;]*|)'
+_BLANK = r"[\s\p{Z}\x{0085}]"
+_SPLIT_SQL = f"""[regexp_replace(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, '^{_BLANK}+|{_BLANK}+$', '', 'g') for x in regexp_extract_all(';' || @, ';({_FIELD})', 1)]"""
+_NULL_SQL = "coalesce(upper(@), '') IN ('', 'NA', 'N/A', 'NULL', '1900-01-01')"
+_DATE_SQL = " OR ".join(f"regexp_full_match(@, '{shape}') AND try_strptime(@, '{form}') IS NOT NULL" for shape, form in (
+    (r"\d{4}-\d{2}-\d{2}", "%Y-%m-%d"), (r"\d{2}/\d{2}/\d{4}", "%d/%m/%Y"), (r"\d{8}", "%d%m%Y"), (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "%Y-%m-%dT%H:%M:%S"),
+))
+_TIGHT_SQL = f"regexp_replace(@, '{_BLANK}', '', 'g')"
+_NUMBER_SQL = " OR ".join(rf"regexp_full_match({_TIGHT_SQL}, '(?:[+-]?\$?|\$[+-]){digits}(?:[eE][+-]?\d+)?') AND abs(TRY_CAST(regexp_replace({bare.replace('@', _TIGHT_SQL)}, '[$+]', '', 'g') AS DOUBLE)) < 1e14" for digits, bare in (
+    (r"\d{1,3}(?:\.\d{3})+(?:,\d+)?", "replace(replace(@, '.', ''), ',', '.')"), (r"\d{1,3}(?:,\d{3})+(?:\.\d+)?", "replace(@, ',', '')"), (r"\d+(?:[.,]\d+)?", "replace(@, ',', '.')"),
+))
+
+
+def _feed_sql(dataset: str) -> str:
+    """Failing records of a feed: split by a regular expression, each value checked where it stands."""
+    feed = FEEDS[dataset]
+    at = "q[list_position(h, '{}')]".format
+    bad = [_NULL_SQL.replace("@", at(x)) for x in feed.keys]
+    for names, good in ((feed.dates, _DATE_SQL), (feed.numbers, _NUMBER_SQL)):
+        bad += [f"NOT ({_NULL_SQL} OR coalesce({good}, false))".replace("@", at(x)) for x in names]
+    body, header = "regexp_replace(raw_text, '(\r\n|\r|\n)$', '')", "regexp_replace(regexp_replace(min(raw_text), '(\r\n|\r|\n)$', ''), '^' || chr(65279), '')"
+    return f"""SELECT '{dataset}' AS dataset, f AS source_file_id, n AS raw_row_num FROM (
+        SELECT *, regexp_full_match(t, '{_FIELD}(?:;{_FIELD})*') AS ok, {_SPLIT_SQL.replace('@', 't')} AS q FROM (SELECT source_file_id AS f, raw_row_num AS n, {body} AS t FROM reliability_gate_{dataset} WHERE raw_row_num IS DISTINCT FROM 0) a
+        LEFT JOIN (SELECT g, {_SPLIT_SQL.replace('@', 'x')} AS h FROM (SELECT source_file_id AS g, {header} AS x FROM reliability_gate_{dataset} WHERE raw_row_num = 0 GROUP BY 1) z) b ON f = g) r
+        WHERE t IS NULL OR h IS NULL OR NOT ok OR len(q) <> len(h) OR {' OR '.join(bad)}"""
+
+
+P2_FOUND_SQL = "SELECT DISTINCT * FROM (" + " UNION ALL ".join(_feed_sql(k) for k in FEEDS) + ") u"
+
+
 def p2_loaded_licitacion(spark: SparkSession, d: str) -> DataFrame:
     return loaded(_parsed(spark, d, "licitacion"), LOADED["licitacion"])
 
@@ -211,4 +242,4 @@ P3_CHANGES_SQL = P3_FOUND_SQL.replace(
 ).replace("AS snapshot_date, coalesce", "AS snapshot, coalesce").replace("AS external_notice_code,\n", "AS key,\n")
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_rejects, p2_loaded_licitacion, p2_loaded_orden_compra, p3_found, p3_changes, p5_found, p5_departures, p5_differences, p5_profile, p5_counts, p5_sums)}
-ORACLE = {"p3_found": P3_FOUND_SQL, "p3_changes": P3_CHANGES_SQL, "p5_counts": P5_COUNTS_SQL, "p5_sums": P5_SUMS_SQL}
+ORACLE = {"p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p3_changes": P3_CHANGES_SQL, "p5_counts": P5_COUNTS_SQL, "p5_sums": P5_SUMS_SQL}
