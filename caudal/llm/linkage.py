@@ -40,7 +40,8 @@ HOT_PAIRS = 20_000
 #: Least value that the evidence alone gives to a pair. What raises a pair above it is its order's and notice's other
 #: pairs, so pairs of an order and notice that have a plausible one take part from LIFTED on.
 PLAUSIBLE, LIFTED = 0.4, 0.2
-ACCEPT = 0.5
+#: Least confidence of a link; least of one that rivals share in.
+ACCEPT, SHARED = 0.5, 0.3
 #: The solution stands when no value of an order moves by more than this; orders that stand leave the rounds.
 TOLERANCE = 0.01
 #: Rounds after which what still moves is taken as it is.
@@ -346,7 +347,7 @@ def local_step(group: np.ndarray, pro: np.ndarray, con: np.ndarray, z: np.ndarra
 
 
 def solve(pairs: DataFrame, reviews: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """Truth values of the pairs: p, o, n, nt, confidence.
+    """Truth values of the pairs: p, o, n, nt, confidence, and what their evidence gives alone.
 
     ``reviews`` (o, nt, w) are unverified links of orders and notices with their weights; they speak for
     the consensus value of (order, notice). All pairs of an order line are solved together, they are as
@@ -384,7 +385,7 @@ def solve(pairs: DataFrame, reviews: DataFrame, rounds: int = ROUNDS, tolerance:
         new = local.join(consensus.select("o", "nt", "zn").join(orders.select("o", "vn", "residual"), "o"), ["o", "nt"])
         new = materialize(new.select("p", "o", "n", "nt", "pro", "con", "rel", F.col("zn").alias("z"), (F.col("u") + F.col("zeta") - F.col("zn")).alias("u"), "x", "zeta", "moved", F.col("vn").alias("v"), "residual"))
         last = at + 1 == rounds
-        done.append((new if last else new.where(F.col("residual") <= tolerance)).select("p", "o", "n", "nt", "x"))
+        done.append((new if last else new.where(F.col("residual") <= tolerance)).select("p", "o", "n", "nt", "x", (F.col("pro") / (F.col("pro") + F.col("con"))).alias("alone")))
         state = new.where(F.col("residual") > tolerance).drop("residual")
         if last or state.isEmpty():
             break
@@ -405,7 +406,9 @@ def _whole_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held.copy()
 
 
-def best_links(solved: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The notice line of each order line, where the confidence is at least ``accept``; ties fall to the lower id."""
-    best = F.max(F.struct("confidence", (-F.col("n")).alias("m"), "n", "nt", "o")).alias("b")
-    return solved.groupBy("p").agg(best).where(F.col("b.confidence") >= accept).select("p", "b.o", "b.n", "b.nt", "b.confidence")
+def best_links(solved: DataFrame, accept: float = ACCEPT, shared: float = SHARED) -> DataFrame:
+    """The best notice line of each order line, where its confidence is at least ``accept``, or at least ``shared`` though rivals
+    take a part of it and its evidence alone gives ``accept``; ties fall to the lower id."""
+    best = F.max(F.struct("confidence", (-F.col("n")).alias("m"), "n", "nt", "o", "alone")).alias("b")
+    kept = (F.col("b.confidence") >= accept) | (F.col("b.confidence") >= shared) & (F.col("b.alone") >= accept)
+    return solved.groupBy("p").agg(best).where(kept).select("p", "b.o", "b.n", "b.nt", "b.confidence")
