@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -76,22 +77,24 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once an application: their Python workers import it."""
     sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="caudal-")
-    atexit.register(shutil.rmtree, folder, True)
-    archive = Path(folder) / f"{root.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(archive))
+    with _shipping:  # another thread's job waits until the package is there
+        if sc.applicationId in _shipped:
+            return
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="caudal-")
+        atexit.register(shutil.rmtree, folder, True)
+        archive = Path(folder) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        _shipped.add(sc.applicationId)
 
 
 def read(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | list[DataFrame]:

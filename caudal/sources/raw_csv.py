@@ -23,6 +23,8 @@ REQUIRED = {
     "orden_compra": ["Codigo", "FechaEnvio", "Estado", "DescripcionTipoOC", "IDItem", "codigoProductoONU", "totalLineaNeto"],
 }
 ENCODINGS = ["utf-8-sig", "utf-8", "latin-1"]
+# Content types that an upload may come as.
+CONTENT_TYPES = ["application/csv", "application/octet-stream", "application/vnd.ms-excel", "text/csv", "text/plain"]
 
 RAW = T.StructType(
     [
@@ -114,16 +116,37 @@ def read_raw(spark: SparkSession, paths: list[str], dataset: str) -> DataFrame:
     return rows.withColumn("raw", cleaned).withColumn("row_hash_sha256", row_hash(F.col("raw")))
 
 
+def unregistered(spark: SparkSession, paths: list[str], stored: DataFrame, force: bool = False) -> list[str]:
+    """Paths whose content no stored row is of; all of them with ``force``. Files are hashed where they lie, each by one task."""
+    if force or not paths:
+        return list(paths)
+    files = spark.read.format("binaryFile").load(paths).select("path", F.sha2("content", 256).alias("source_file_id"))
+    fresh = files.join(stored.select("source_file_id").distinct(), "source_file_id", "left_anti").select("path").collect()  # at most the paths
+    names = {r["path"].split(":", 1)[-1].lstrip("/") for r in fresh}
+    return [p for p in paths if p.split(":", 1)[-1].lstrip("/") in names]
+
+
+def profile(raw: DataFrame, dataset: str) -> DataFrame:
+    """One row a file: rows, columns, rows with a problem, and the required headers it lacks. A file without rows has none."""
+    columns = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.map_keys("raw")))))
+    files = raw.groupBy("source_file", "source_file_id").agg(F.count("*").alias("n_rows"), F.count("problem").alias("n_problems"), columns.alias("columns"))
+    required = F.array(*[F.lit(c) for c in sorted(REQUIRED[dataset])])
+    return files.withColumns({"n_columns": F.size("columns"), "missing": F.array_except(required, "columns")})
+
+
 def append_new(stored: DataFrame, raw: DataFrame) -> DataFrame:
     """Rows not stored yet, by (file, row number): reading a file again appends nothing."""
     return raw.dropDuplicates(["source_file_id", "raw_row_num"]).join(stored.select("source_file_id", "raw_row_num"), ["source_file_id", "raw_row_num"], "left_anti")
 
 
-def preflight(content: bytes, name: str, dataset: str, most_bytes: int = 50 * 1024 * 1024) -> dict:
+def preflight(content: bytes, name: str, dataset: str, most_bytes: int = 50 * 1024 * 1024, content_type: str | None = None) -> dict:
     """What can be said of an upload before it is taken: errors, encoding, hash, headers, rows that are not blank."""
     errors = []
     if not name.lower().endswith(".csv"):
         errors.append("not_a_csv_name")
+    kind = (content_type or "").split(";", 1)[0].strip().lower()
+    if kind and kind not in CONTENT_TYPES:
+        errors.append("content_type")
     if not content:
         errors.append("empty")
     if len(content) > most_bytes:

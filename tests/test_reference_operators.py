@@ -356,3 +356,16 @@ def test_notice_annotations(spark, tmp_path):
     clean = " ".join(folded.split())
     assert set(got) == {"n1", "n2", "n3"} and got["n1"]["label"] == "construction" and got["n2"]["language"] == "und"
     assert got["n1"]["ref"] == f"tfidf://silver_notice/{VERSION}/" + hashlib.sha256(f"n1|{clean}".encode()).hexdigest()
+
+
+def test_registered_files_profiles_and_content_types(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Codigo;CodigoExterno\n1;2\n3\n")
+    (tmp_path / "b.csv").write_text("Codigo;Otro\n1;2\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    raw = raw_csv.read_raw(spark, paths, "licitacion")
+    stored = raw_csv.read_raw(spark, paths[:1], "licitacion")
+    assert raw_csv.unregistered(spark, paths, stored) == paths[1:] and raw_csv.unregistered(spark, paths, raw) == [] and raw_csv.unregistered(spark, paths, raw, force=True) == paths
+    got = {r["source_file"][-5:]: r for r in raw_csv.profile(raw, "licitacion").collect()}
+    assert (got["a.csv"]["n_rows"], got["a.csv"]["n_problems"], got["a.csv"]["n_columns"]) == (2, 1, 2) and "CodigoExterno" in got["b.csv"]["missing"] and "CodigoExterno" not in got["a.csv"]["missing"]
+    errors = lambda kind: raw_csv.preflight(b"Codigo;x\n1;2\n", "a.csv", "licitacion", content_type=kind)["errors"]
+    assert "content_type" in errors("image/png") and not any(e == "content_type" for k in (None, "", "Text/CSV; charset=utf-8") for e in errors(k))
